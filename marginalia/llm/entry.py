@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.common import table
 from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
+from marginalia.llm.near_dedup import near_dedup
 from marginalia.llm.quality import quality_verdicts
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ FROM marked GROUP BY doc_id, source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
