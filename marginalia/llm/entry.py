@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import table
+from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.decontaminate import contamination
 from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from marginalia.llm.near_dedup import near_dedup
-from marginalia.llm.sentencepieces import encode
 from marginalia.llm.quality import quality_verdicts
+from marginalia.llm.sentencepieces import encode
+from marginalia.llm.suffix_dedup import suffix_dedup
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup(docs, counts=True)
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
 
