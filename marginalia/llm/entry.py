@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import table
 from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.decontaminate import contamination
+from marginalia.llm.html_text import extract_text
 from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from marginalia.llm.near_dedup import near_dedup
 from marginalia.llm.quality import quality_verdicts
 from marginalia.llm.sentencepieces import encode
 from marginalia.llm.suffix_dedup import suffix_dedup
+from marginalia.llm.url_templates import SQL as OP10_SQL
+from marginalia.llm.url_templates import url_verdicts
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +54,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, counts=True)
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 OP9_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS own
@@ -66,12 +77,14 @@ FROM marked GROUP BY doc_id, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}
