@@ -11,6 +11,7 @@ from marginalia.llm.common import table
 from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.decontaminate import contamination
 from marginalia.llm.html_text import extract_text
+from marginalia.llm.langid import language_id
 from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from marginalia.llm.near_dedup import near_dedup
 from marginalia.llm.quality import quality_verdicts
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup(docs, counts=True)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
