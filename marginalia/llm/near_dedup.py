@@ -11,7 +11,7 @@ Equal texts form exact classes first. Of each class one representative is compar
    reach the threshold with any other and needs no signature: this test is exact.
 3. The rest get ICWS signatures, cut into bands. In each band's bucket every member is verified against the bucket's
    hub (the member that meets the most others over all bands); members of a bucket that are not in one component after
-   that are verified pair by pair. Links are exact weighted Jaccard similarities at the threshold or above.
+   that are verified pair by pair, except pairs that their private weights alone keep below the threshold. Links are exact weighted Jaccard similarities at the threshold or above.
 
 A member of a group of copies or near copies costs a row per band and about one verified pair, so rows grow in
 proportion however large the group is.
@@ -163,7 +163,7 @@ def _vectors(n_docs: int, threshold: float, damping: float):
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         known = [(unpack(h.as_py()), np.frombuffer(d.as_py(), np.int64)) for h, d in zip(side.column("hashes"), side.column("dfs")) if h.is_valid]
-        rows = {c: [] for c in ("id", "hashes", "weights", "private", "bands")}
+        rows = {c: [] for c in ("id", "hashes", "weights", "private", "common", "bands")}
         if known:
             h, df = np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])
             order = np.argsort(h)
@@ -179,9 +179,9 @@ def _vectors(n_docs: int, threshold: float, damping: float):
                 mine = mix(np.array([i], np.int64).view(np.uint64) ^ U(0x5851F42D4C957F2D))
                 sample = icws(np.concatenate((own[common], mine)) if private else own[common], np.append(w, private) if private else w, BANDS * ROWS)
                 keys = windows(np.column_stack((np.arange(BANDS, dtype=np.uint64), sample.reshape(BANDS, ROWS))).ravel(), ROWS + 1)[:: ROWS + 1]
-                for c, v in zip(rows, (i, own[common].tobytes(), w.tobytes(), private, keys.view(np.int64).tolist())):
+                for c, v in zip(rows, (i, own[common].tobytes(), w.tobytes(), private, float(w.sum()), keys.view(np.int64).tolist())):
                     rows[c].append(v)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(rows.items(), kinds)})
 
     return run
@@ -203,13 +203,14 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, damping: float = DAMPING) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members maps each id to its exact class's representative; links are verified pairs of representatives that connect the near-duplicate classes."""
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, damping: float = DAMPING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, roots): members maps each id to its exact class's representative, links are the verified pairs of
+    representatives that connect the near-duplicate classes, and roots gives each linked representative its class."""
     spark = docs.sparkSession
     own = docs.select(plain(id_col).cast("long").alias("id"), plain(text_col).alias("text")).where("id IS NOT NULL")
     key = F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))).alias("key")
     ids = materialise(own.select("id", key).distinct())
-    classes = ids.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(ids.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))  # apart from the join, so that Spark can split a hot key there
     members = materialise(ids.join(classes, "key").groupBy("id").agg(F.min(F.struct("rep", "copies")).alias("r")).select("id", "r.rep", "r.copies"))
     n_docs = members.count()
     parts = blocks_for(spark, text_bytes(own, "text"), BLOCK_BYTES)
@@ -220,32 +221,38 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = dealt.cogroup(reps.groupBy("block")).applyInArrow(_count(parts), _COUNTS)
     shared = counts.groupBy("target").applyInArrow(_shared, _SIDE)
     vectors = materialise(
-        dealt.cogroup(reps.unionByName(shared).groupBy("block")).applyInArrow(_vectors(n_docs, threshold, damping), "id long, hashes binary, weights binary, private double, bands array<long>")
+        dealt.cogroup(reps.unionByName(shared).groupBy("block")).applyInArrow(_vectors(n_docs, threshold, damping), "id long, hashes binary, weights binary, private double, common double, bands array<long>")
     )
 
-    rows = vectors.select("id", F.explode("bands").alias("band"))
+    rows = vectors.select("id", "private", "common", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(sizes, "band")
     hubs = rows.groupBy("id").agg(F.sum("n").alias("met"))
     rows = materialise(rows.join(hubs, "id"))
-    leaders = rows.groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("hub"))
-    star = rows.join(leaders, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    leaders = rows.groupBy("band").agg(F.max_by(F.struct("id", "private", "common"), F.struct("met", -F.col("private"), -F.col("id"))).alias("hub")).select("band", F.col("hub.id").alias("hub"), F.col("hub.private").alias("private2"), F.col("hub.common").alias("common2"))
+    # what one of two sets has alone is in their union, what they have in common is at most the lesser shared weight: this bound is exact
+    shared_most = F.least("common", "common2")
+    possible = shared_most >= threshold * (F.greatest("common", "common2") + F.col("private") + F.col("private2")) * (1 - 1e-9)
+    star = rows.join(leaders, "band").where((F.col("id") != F.col("hub")) & possible).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = materialise(_verified(star, vectors, threshold))
 
-    found = components(links)
-    at = rows.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    roots = components(links)
+    at = rows.join(roots, "id", "left").select("band", "id", "private", "common", F.coalesce("root", "id").alias("root"))
     mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     rest = at.join(mixed, "band")
-    other = rest.select("band", F.col("id").alias("id2"), F.col("root").alias("root2"))
-    pairs = rest.join(other, "band").where("id < id2 AND root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    other = rest.select("band", F.col("id").alias("id2"), F.col("private").alias("private2"), F.col("common").alias("common2"), F.col("root").alias("root2"))
+    open_pair = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & possible
+    pairs = rest.join(other, (rest["band"] == other["band"]) & open_pair).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = materialise(_verified(pairs, vectors, threshold))
-    return members, links.unionByName(more)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    return members, links, roots
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: id, class_id (the least id of its near-duplicate class), rep_id (of its exact class), copies, n_links (verified links of its representative)."""
-    members, links = near_links(docs, id_col, text_col, threshold)
-    roots = components(links)
+    members, links, roots = near_links(docs, id_col, text_col, threshold)
     degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
     return (
         members.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
@@ -256,8 +263,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class (the least id), and one row of it; rows with a null id stay."""
-    members, links = near_links(docs, id_col, text_col, threshold)
-    roots = components(links)
+    members, _, roots = near_links(docs, id_col, text_col, threshold)
     keep = members.where("id = rep").join(roots, "id", "left").where("root IS NULL OR root = id").select(F.col("id").alias("__near_keep"))
     named = docs.where(plain(id_col).isNotNull())
     kept = named.join(keep, plain(id_col).cast("long") == F.col("__near_keep"), "left_semi")
