@@ -1 +1,3 @@
-"""Part of the engine; see README."""
+"""Registered queries; importing this package registers them."""
+
+from marginalia.plans import basics, texts  # noqa: F401
