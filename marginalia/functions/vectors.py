@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Bytes of query vectors that are shipped to the tasks at a time; more queries go in further blocks.
 QUERY_BYTES = 32 << 20
@@ -92,7 +93,7 @@ def _best(queries: list[tuple[int, list[float]]], k: int, dims: int | None):
     return run
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_vector(lists: pd.Series) -> pd.Series:
     """Offline embedding of word lists: counts by the last byte of each word's MD5, scaled to norm 1 (256 entries)."""
     known: dict[str, int] = {}
