@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from marginalia.plans import basics, retrieval, texts  # noqa: F401
+from marginalia.plans import basics, chunking, retrieval, texts, versions  # noqa: F401
