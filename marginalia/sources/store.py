@@ -73,7 +73,7 @@ class ChunkStore:
             files = [r[0] for r in self.rows().where(keys).select(F.input_file_name()).distinct().collect()]
             jvm = self.spark.sparkContext._jvm
             for f in files:
-                at = jvm.org.apache.hadoop.fs.Path(f)
+                at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
         return n
 
