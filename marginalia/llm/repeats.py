@@ -186,7 +186,8 @@ def repeated_windows(
     """Every row of docs as id, text and spans, its list of (lo, n): windows lo, ..., lo + n - 1 start elsewhere too. Rows with a null id count as well."""
     own = _keyed(docs, id_col, text_col)
     parse = materialise(_parse(own, codes, shape))
-    keys = parse.groupBy("k1").agg(F.count(F.lit(1)).alias("c1"), F.min("k2").alias("a2"), F.max("k2").alias("b2")).where("c1 > 1")
+    # apart from the join, so that Spark can split a hot key there
+    keys = materialise(parse.groupBy("k1").agg(F.count(F.lit(1)).alias("c1"), F.min("k2").alias("a2"), F.max("k2").alias("b2")).where("c1 > 1"))
     found = materialise(parse.join(keys, "k1").select("id", "h", "lo", "n", "k1", "k2", (F.col("a2") == F.col("b2")).alias("same")))
     mixed = found.where("NOT same")
     kinds = mixed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c2"), F.min(F.struct("id", "h", "lo", "n")).alias("first"))
