@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 5
 #: How much rarer shingles weigh more: from 1 for a shingle of all documents to 1 + DAMPING for one of a single document.
 DAMPING = 0.1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     right = vectors.select(F.col("id").alias("b"), F.struct("hashes", "weights", "private").alias("y"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             sims = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 (h1, w1), (h2, w2) = ((np.frombuffer(v["hashes"], np.uint64), np.frombuffer(v["weights"])) for v in (x, y))

@@ -34,7 +34,7 @@ from marginalia.llm.hashing import U, mix, windows
 #: tokens of a block of dictionary phrases.
 CHUNK = 1 << 19
 HOT = 2048
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,8 +95,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _parse(docs: DataFrame, codes: Callable[[str], np.ndarray], shape: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                batch = whole.slice(s, 500)
+            for s in range(0, whole.num_rows, 200):
+                batch = whole.slice(s, 200)
                 found = [shape.phrases(codes(t)) if t else None for t in batch.column(2).to_pylist()]
                 size = np.array([0 if x is None else len(x[0]) for x in found], np.int64)
                 if size.sum():
@@ -117,12 +117,12 @@ def _contents(rows: DataFrame, codes: Callable[[str], np.ndarray], content: Call
     """The tokens of each listed dictionary phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        for batch in (whole.slice(s, 200) for whole in batches for s in range(0, whole.num_rows, 200)):
             rows = []
             for r in batch.to_pylist():
                 get = content(r["text"])
                 rows += [(r["id"], r["h"], x["lo"], x["n"], x["k1"], x["single"], get(x["lo"], x["lo"] + x["n"] - 1 + shape.width)) for x in r["list"]]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["id", "h", "lo", "n", "k1", "single", "content"])
 
     return rows.mapInArrow(run, _CONTENT)

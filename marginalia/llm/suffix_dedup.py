@@ -81,7 +81,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "replace")
