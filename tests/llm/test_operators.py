@@ -1,0 +1,217 @@
+"""The other operators: brute force, round trips, held-out accuracy, edge cases."""
+
+import json
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import decontaminate as D
+from marginalia.llm import quality as Q
+from marginalia.llm import sentencepieces as S
+from marginalia.llm.html_text import extract_text, main_text
+from marginalia.llm.langid import language_id
+from marginalia.llm.line_dedup import line_dedup
+from marginalia.llm.url_templates import url_verdicts
+
+# ---- op1
+
+
+def edit_within(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_edit_distance():
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(1, n))) for n in (12, 20))
+        assert D.edits_within(a, b) == edit_within(a, b)
+
+
+def test_decontamination(spark):
+    rnd = random.Random(2)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    items = [(i, text(15 + i)) for i in range(20)] + [(20, "tiny"), (21, None), (None, text(20)), (22, "just under sixty bytes, over sixteen")]
+    rows, want = [], set()
+    for i in range(120):
+        k = i % 20
+        item = list(items[k][1])
+        for _ in range(len(item) * (i % 4) // 40):
+            item[rnd.randrange(len(item))] = rnd.choice("xyz")
+        held = i % 3 == 0
+        rows.append((i, f"{text(10)} {''.join(item) if held else text(20)}\n{text(5)}"))
+        if held:
+            want.add((i, k))
+    rows += [(200, None), (201, ""), (202, "so: Just  under sixty\nbytes, over sixteen!"), (203, items[3][1].upper()), (203, items[3][1].upper())]
+    want |= {(202, 22), (203, 3)}
+    docs = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (D.ITEM_BYTES, 600):  # in one block of items and in several
+        found = D.contamination(docs, bench, item_bytes=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) + 1
+    kept = D.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {i for i, _ in want}
+    assert D.contamination(docs, bench.where("false")).count() == 0 and D.contamination(docs.where("false"), bench).count() == 0
+
+
+# ---- op2
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a&nbsp;b\n c<br>d</p><p>e</p>", "a b c d\n\ne"),
+        ("<body><div class='nav-bar'>x</div><main><p>One, two.<p>Three</main><div id=comments><p>Nice text, really nice.</p></div>", "One, two.\n\nThree"),
+        ("<article><header><h1>T</h1><p>by me</p></header><section class=comments>c</section><p>Text here.</p><aside>s</aside></article><footer>f</footer>", "T\n\nText here."),
+        ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes<!-- <p>no</p> --></p><p cut", "yes"),
+        ("<div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></div>", "a\n\nb\n\nc\n\nd"),
+    ],
+)
+def test_main_text(page, want):
+    assert main_text(page) == want
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>ä b</p>", "t"), (1, "u", "<p>ä b</p>", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in extract_text(pages).orderBy("page_id").collect()] == [(None, "", 0), (1, "ä b", 3), (1, "ä b", 3)]
+    assert extract_text(pages.where("false")).count() == 0
+
+
+# ---- op4
+
+ODD = ["", " ", "  a  b ", " \n x\n\n y  \n", "▁ a▁b ▁", "日本語 emoji😀\t\x00 x", " " * 30 + "x" + " " * 9, "<s> </s> <unk> <0x41>", "a" * 300, "İstanbul ﬁ x²", "\n" * 5]
+
+
+def test_pieces(spark, sf_dir):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = open(S.MODEL, "rb").read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    exact, a, b = S.Codec(model, 0.0), S.Codec(model, 0.2, seed=1), S.Codec(model, 0.2, seed=2)
+    differ = 0
+    for t in docs[:60] + ODD:
+        if S.SPACE_MARK not in t:
+            assert exact.encode(t).tolist() == sp.encode(t)
+        x, y = a.encode(t).tolist(), b.encode(t).tolist()
+        assert a.decode(x) == b.decode(y) == exact.decode(exact.encode(t)) == t
+        assert x == S.Codec(model, 0.2, seed=1).encode(t).tolist() if t in ODD else True
+        differ += x != y
+    assert differ > 50
+
+
+def test_encode_table(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "a b", 6), (2, "a b", 6)], "doc_id long, text string, ids2 int")
+    rows = S.decode(S.encode(docs, keep_text=False, check=True)).orderBy("doc_id").collect()
+    assert [(r.text, r.lossless, r.ids2) for r in rows] == [(None, True, 5), ("a b", True, 6), ("a b", True, 6)] and rows[0].ids is None
+    assert S.encode(docs.where("false")).count() == 0
+
+
+# ---- op5
+
+
+def reference_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    held = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    lines, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.add(line)
+    return len(words), sum(map(len, words)), sum(len(re.findall(r"[#*$%&|<>]", w)) for w in words), dup, len(held)
+
+
+def quantile(values, q):
+    bucket = lambda v: v >> (s := max(v.bit_length() - 7, 0)) << s
+    values = sorted(map(bucket, values))
+    return values[-(-len(values) * q // 4) - 1]
+
+
+def test_quality(spark, sf_dir):
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(1000, None, None, None), (1001, "", "en", None), (1002, "a b\x1cc d\n\n\nd\nd", "xx", "y")]
+    table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, source string, kept int")
+    got = {r.doc_id: r for r in Q.quality_verdicts(table).collect()}
+    counts = {i: reference_counts(t) for i, t, *_ in docs}
+    failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
+    lines = {i: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")) for i, t, *_ in docs}
+    def per_mille(i):
+        n, chars, symbols, dup, rep = counts[i]
+        return {"word_len": 1000 * chars // n, "symbols": 1000 * symbols // n, "dup_lines": 1000 * dup // lines[i], "repeats": 1000 * rep // n}
+    passed = [d for d in docs if not failed[d[0]]]
+    for i, _, lang, source in docs:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts[i] and r.base_failed == failed[i]
+        if failed[i]:
+            assert not r.kept
+            continue
+        group = [d for d in passed if d[2] == lang and d[3] == source]
+        group = group if len(group) >= Q.MIN_DOCS else [d for d in passed if d[2] == lang]
+        group = group if len(group) >= Q.MIN_DOCS else passed
+        ok = True
+        for k, v in per_mille(i).items():
+            values = [per_mille(d[0])[k] for d in group]
+            q1, q3 = quantile(values, 1), quantile(values, 3)
+            width = Q.FENCE * max(q3 - q1, Q.LEAST_RANGE[k])
+            ok = ok and v <= q3 + width and (k not in Q.TWO_SIDED or v >= q1 - width)
+        assert r.kept == ok
+    kept = Q.quality_filter(table)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert Q.quality_verdicts(table.where("false")).count() == 0
+
+
+# ---- op8
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(None, "der die das", "de"), (5001, None, "en"), (5002, "12 34 !", "en"), (5003, "the that", None)], "doc_id long, text string, lang string")
+    rows = language_id(docs.unionByName(odd)).join(docs, "doc_id", "left").collect()
+    test = [r for r in rows if r.held_out and r.lang]
+    assert len(test) > 200 and sum(r.lang_pred == r.lang for r in test) / len(test) > 0.98
+    assert {r.doc_id: r.lang_pred for r in rows if r.doc_id in (5001, 5002)} == {5001: "und", 5002: "und"}
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
+    assert language_id(docs).first().lang_pred == "und" and language_id(docs.where("false")).count() == 0
+
+
+# ---- op9
+
+
+def test_lines(spark):
+    rows = [(i, "h" if i < 10 else None, f"own {i}\n\n  menu \t\n{'twice' if i < 2 else 'x' + str(i)}\n") for i in range(20)] + [(20, "h", None), (21, "h", "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, source string, text string, n int")
+    got = {r.doc_id: r for r in line_dedup(docs, ratio=0.5, min_pages=3, counts=True).collect()}
+    assert got[0].text == "own 0\n\ntwice\n" and got[15].text == "own 15\n\nx15\n" and got[20].text is None and got[21].text == ""
+    assert (got[0].n_lines, got[0].n_removed, got[20].n_lines) == (3, 1, 0)
+    assert line_dedup(docs).columns == docs.columns and line_dedup(docs.where("false")).count() == 0
+
+
+def test_line_dedup_is_native(spark):
+    plan = line_dedup(spark.createDataFrame([(1, "h", "x")], "doc_id long, source string, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---- op10
+
+
+def test_urls(spark):
+    urls = ["https://WWW.Example.com/en/1?x=/es/", "http://example.com/en/2#t", "http://a.net/es/3.html", "no scheme/es/", None, "https://x.com", "ftp://b.net/fr", "http://b.net/fr/5", "http://b.net/fr//6"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_verdicts(pages).collect()}
+    assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and got[1] == ("example.com", "/en/2", "example.com/en/", "block")
+    assert got[2] == ("a.net", "/es/3.html", "net/es/", "block") and got[3] == got[4] == ("", "", None, "allow") and got[5] == ("x.com", "", None, "allow")
+    assert got[6][:3] == ("b.net", "/fr", None) and got[6][3] == "block"  # its only labelled branch is blocked
+    assert len(got) == len(urls) and url_verdicts(pages.where("false")).count() == 0
