@@ -153,12 +153,13 @@ def _judged(counted: DataFrame, limits: DataFrame, lang_col: str, source_col: st
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Per document: id, the counts, base_failed and kept."""
     counted = materialise(with_counts(docs, text_col, list(dict.fromkeys([id_col, lang_col, source_col]))))
-    judged = _judged(counted, fences(sketches(counted, lang_col, source_col)), lang_col, source_col)
+    judged = _judged(counted, materialise(fences(sketches(counted, lang_col, source_col))), lang_col, source_col)
     return judged.select(plain(id_col), *[F.col(f"{_P}{c}").alias(c) for c in COUNTS], base_failed().alias("base_failed"), F.col(f"{_P}kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that the rules keep. Texts are measured twice, which is cheaper than to store them between."""
     narrow = with_counts(docs, text_col, list(dict.fromkeys([lang_col, source_col])))
-    limits = fences(materialise(sketches(narrow, lang_col, source_col)))
+    # written first: its size is then known when the join is planned, so that texts are shuffled only if it is large
+    limits = materialise(fences(materialise(sketches(narrow, lang_col, source_col))))
     return _judged(with_counts(docs, text_col), limits, lang_col, source_col).where(f"{_P}kept").select(*[plain(c) for c in docs.columns])
