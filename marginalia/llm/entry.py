@@ -14,6 +14,7 @@ from marginalia.llm.html_text import extract_text
 from marginalia.llm.langid import language_id
 from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from marginalia.llm.near_dedup import near_dedup
+from marginalia.llm.quality import SQL as OP5_SQL
 from marginalia.llm.quality import quality_verdicts
 from marginalia.llm.sentencepieces import encode
 from marginalia.llm.suffix_dedup import suffix_dedup
@@ -93,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}

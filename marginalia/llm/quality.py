@@ -28,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 #: the least quartile range (per mille) of each figure.
 FENCE = 4
 MIN_DOCS = 200
-LEAST_RANGE = {"word_len": 200, "symbols": 100, "dup_lines": 100, "repeats": 60}
+LEAST_RANGE = {"word_len": 200, "symbols": 100, "dup_lines": 100, "repeats": 110}
 #: Figures that are also rejected when too low.
 TWO_SIDED = ("word_len",)
 
@@ -163,3 +163,42 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     # written first: its size is then known when the join is planned, so that texts are shuffled only if it is large
     limits = materialise(fences(materialise(sketches(narrow, lang_col, source_col))))
     return _judged(with_counts(docs, text_col), limits, lang_col, source_col).where(f"{_P}kept").select(*[plain(c) for c in docs.columns])
+
+
+def _quartile_sql(keys: str) -> str:
+    on = (keys + ", ") if keys else ""
+    return f"""SELECT {on}figure, max(n_all) AS docs, min(bucket) FILTER (WHERE 4 * upto >= n_all) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * n_all) AS q3
+  FROM (SELECT {on}figure, bucket, sum(n) OVER (PARTITION BY {on}figure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}figure) AS n_all
+        FROM (SELECT {on}figure, bucket, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+
+
+_FIGURES = ", ".join(f"{{'figure': '{k}', 'v': {v}}}" for k, v in {
+    "word_len": "1000 * word_chars // greatest(n_words, 1)", "symbols": "1000 * n_symbols // greatest(n_words, 1)",
+    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
+}.items())
+_RANGES = "CASE c.figure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_RANGE.items()) + " END"
+
+#: The same in SQL.
+SQL = rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+held AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines
+  FROM w LEFT JOIN held h ON w.doc_id = h.doc_id LEFT JOIN lines l ON w.doc_id = l.doc_id),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+figures AS (SELECT doc_id, lang, source, x.figure AS figure, x.v AS v, greatest(length(bin(x.v)) - 7, 0) AS s FROM (SELECT doc_id, lang, source, unnest([{_FIGURES}]) AS x FROM judged WHERE NOT base_failed)),
+sketch AS (SELECT *, (v >> s) << s AS bucket FROM figures),
+own AS ({_quartile_sql("lang, source")}), by_lang AS ({_quartile_sql("lang")}), overall AS ({_quartile_sql("")}),
+limits AS (
+  SELECT c.lang, c.source, c.figure, CASE WHEN c.docs >= {MIN_DOCS} THEN c.q1 WHEN b.docs >= {MIN_DOCS} THEN b.q1 ELSE o.q1 END AS q1,
+         CASE WHEN c.docs >= {MIN_DOCS} THEN c.q3 WHEN b.docs >= {MIN_DOCS} THEN b.q3 ELSE o.q3 END AS q3, {_RANGES} AS least_range
+  FROM own c JOIN by_lang b ON c.lang IS NOT DISTINCT FROM b.lang AND c.figure = b.figure JOIN overall o ON o.figure = c.figure),
+verdicts AS (
+  SELECT f.doc_id, bool_and(f.v <= l.q3 + {FENCE} * greatest(l.q3 - l.q1, l.least_range) AND (f.figure <> 'word_len' OR f.v >= l.q1 - {FENCE} * greatest(l.q3 - l.q1, l.least_range))) AS ok
+  FROM figures f JOIN limits l ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source AND f.figure = l.figure GROUP BY f.doc_id)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(v.ok, true) AS kept
+FROM judged j LEFT JOIN verdicts v ON j.doc_id = v.doc_id
+"""
