@@ -136,36 +136,42 @@ def quantile(values, q):
     return values[-(-len(values) * q // 4) - 1]
 
 
-def test_quality(spark, sf_dir):
-    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    docs += [(1000, None, None, None), (1001, "", "en", None), (1002, "a b\x1cc d\n\n\nd\nd", "xx", "y")]
-    table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, source string, kept int")
-    got = {r.doc_id: r for r in Q.quality_verdicts(table).collect()}
+def reference_verdicts(docs):
+    """id -> (counts, base_failed, kept) of (id, text, lang, source) rows."""
     counts = {i: reference_counts(t) for i, t, *_ in docs}
     failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
     lines = {i: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")) for i, t, *_ in docs}
+
     def per_mille(i):
         n, chars, symbols, dup, rep = counts[i]
         return {"word_len": 1000 * chars // n, "symbols": 1000 * symbols // n, "dup_lines": 1000 * dup // lines[i], "repeats": 1000 * rep // n}
+
     passed = [d for d in docs if not failed[d[0]]]
+    out = {}
     for i, _, lang, source in docs:
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts[i] and r.base_failed == failed[i]
-        if failed[i]:
-            assert not r.kept
-            continue
-        group = [d for d in passed if d[2] == lang and d[3] == source]
-        group = group if len(group) >= Q.MIN_DOCS else [d for d in passed if d[2] == lang]
-        group = group if len(group) >= Q.MIN_DOCS else passed
-        ok = True
-        for k, v in per_mille(i).items():
-            values = [per_mille(d[0])[k] for d in group]
-            q1, q3 = quantile(values, 1), quantile(values, 3)
-            width = Q.FENCE * max(q3 - q1, Q.LEAST_RANGE[k])
-            ok = ok and v <= q3 + width and (k not in Q.TWO_SIDED or v >= q1 - width)
-        assert r.kept == ok
+        ok = not failed[i]
+        if ok:
+            group = [d for d in passed if d[2] == lang and d[3] == source]
+            group = group if len(group) >= Q.MIN_DOCS else [d for d in passed if d[2] == lang]
+            group = group if len(group) >= Q.MIN_DOCS else passed
+            for k, v in per_mille(i).items():
+                values = [per_mille(d[0])[k] for d in group]
+                q1, q3 = quantile(values, 1), quantile(values, 3)
+                width = Q.FENCE * max(q3 - q1, Q.LEAST_RANGE[k])
+                ok = ok and v <= q3 + width and (k not in Q.TWO_SIDED or v >= q1 - width)
+        out[i] = counts[i], failed[i], ok
+    return out
+
+
+def test_quality(spark, sf_dir):
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(1000, None, None, None), (1001, "", "en", None), (1002, "a b\x1cc d\n\n\nd\nd", "xx", "y")]
+    table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, source string, kept int")
+    got = {r.doc_id: r for r in Q.quality_verdicts(table).collect()}
+    want = reference_verdicts(docs)
+    assert {i: ((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed, r.kept) for i, r in got.items()} == want
     kept = Q.quality_filter(table)
-    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if w[2]}
     assert Q.quality_verdicts(table.where("false")).count() == 0
 
 
