@@ -5,7 +5,7 @@ role, class or id: menus, headers, footers, sidebars, notices, adverts, forms, s
 every root-to-leaf tag path of the rest, text length and punctuation are summed over its blocks; both ratios (per block of
 the path) are smoothed over neighbouring paths in page order, fused by multiplication and thresholded at their standard
 deviation. Paths above the threshold select the content nodes: the article or main element around them, or else their
-parent; every block under these is main text.
+parent; every block under these is main text. Where a page has text in article or main elements, only their paths compete.
 
 Defined cases: null or empty html gives an empty text; html without tags is one block; broken or unclosed tags are closed
 as browsers do for paragraphs, list items and table cells, and a tag that the end of the page cuts off is markup; repeated
@@ -178,8 +178,10 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if not found:
         return ""
+    # an article or main element, where a page has one with text, holds the content nodes
+    named = [b for b in found if any(label.split(".")[0] in ("article", "main") for label in b[0])]
     roots = set()
-    for path in content_paths(found):
+    for path in content_paths(named or found):
         inner = [i for i, label in enumerate(path) if label.split(".")[0] in ("article", "main")]
         articles = [i for i in inner if path[i].split(".")[0] == "article"]
         roots.add(path[: (articles or inner)[0] + 1] if inner else path[:-1] or path)
