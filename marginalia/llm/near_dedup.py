@@ -10,8 +10,9 @@ Equal texts form exact classes first. Of each class one representative is compar
    Jaccard similarity as it is. A document whose shared weight is below the threshold times its whole weight cannot
    reach the threshold with any other and needs no signature: this test is exact.
 3. The rest get ICWS signatures, cut into bands. In each band's bucket every member is verified against the bucket's
-   hub (the member that meets the most others over all bands); members of a bucket that are not in one component after
-   that are verified pair by pair, except pairs that their private weights alone keep below the threshold. Links are exact weighted Jaccard similarities at the threshold or above.
+   hub (the member that meets the most others over all bands); where members of a bucket are not in one component after
+   that, all documents that meet in such buckets are verified pair by pair, in blocks. Pairs that their private weights alone
+   keep below the threshold are left out; that bound is exact. Links are exact weighted Jaccard similarities at the threshold or above.
 
 A member of a group of copies or near copies costs a row per band and about one verified pair, so rows grow in
 proportion however large the group is.
@@ -37,6 +38,8 @@ from marginalia.llm.hashing import U, mix, pack, unpack, windows, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 5
+#: Documents of a block when what hubs leave open is compared pair by pair.
+REST_BLOCK = 256
 #: How much rarer shingles weigh more: from 1 for a shingle of all documents to 1 + DAMPING for one of a single document.
 DAMPING = 0.1
 BLOCK_BYTES = 8 << 20
@@ -203,6 +206,47 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def _rest(apart: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """All links between documents of one group and different roots; apart has (id, root, least: an id of its bucket).
+
+    A group is dealt into blocks of about REST_BLOCK documents and each pair of blocks is one task's work, so no group has
+    to fit into one task and only links leave a task.
+    """
+    groups = components(apart.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    docs = apart.select("id", "root").distinct().join(groups.withColumnRenamed("root", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    sizes = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / REST_BLOCK).cast("int").alias("blocks"))
+    placed = docs.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    whole = placed.join(vectors.select("id", "hashes", "weights", "private"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = whole.select("grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "hashes", "weights", "private")
+    return keyed.groupBy("grp", "lo", "hi").applyInArrow(_block_links(threshold), "a long, b long, similarity double")
+
+
+def _block_links(threshold: float):
+    def run(rows: pa.Table) -> pa.Table:
+        ids, roots, mine = (rows.column(c).to_numpy() for c in ("id", "root", "mine"))
+        sets = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+        weights = [np.frombuffer(w) for w in rows.column("weights").to_pylist()]
+        total = np.array([w.sum() for w in weights]) + rows.column("private").to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        right = np.flatnonzero(mine == hi)
+        known, place = np.unique(np.concatenate([sets[j] for j in right]) if len(right) else np.empty(0, np.uint64), return_inverse=True)
+        flat = np.concatenate([weights[j] for j in right]) if len(right) else np.empty(0)
+        begins = np.cumsum([0, *(len(sets[j]) for j in right[:-1])])
+        out: list[tuple[int, int, float]] = []
+        for i in np.flatnonzero(mine == lo) if len(known) else ():
+            own = np.zeros(len(known))
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            hit = known[at] == sets[i]
+            own[at[hit]] = weights[i][hit]
+            low = np.add.reduceat(np.minimum(own[place], flat), begins)
+            similarity = low / (total[i] + total[right] - low)
+            good = (similarity >= threshold) & (roots[right] != roots[i]) & ((ids[right] > ids[i]) if lo == hi else True)
+            out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), float(s)) for j, s in zip(right[good], similarity[good])]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
+
+    return run
+
+
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, damping: float = DAMPING) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, roots): members maps each id to its exact class's representative, links are the verified pairs of
     representatives that connect the near-duplicate classes, and roots gives each linked representative its class."""
@@ -234,19 +278,19 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared_most = F.least("common", "common2")
     possible = shared_most >= threshold * (F.greatest("common", "common2") + F.col("private") + F.col("private2")) * (1 - 1e-9)
     star = rows.join(leaders, "band").where((F.col("id") != F.col("hub")) & possible).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    star = materialise(star)
     links = materialise(_verified(star, vectors, threshold))
 
     roots = components(links)
-    at = rows.join(roots, "id", "left").select("band", "id", "private", "common", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = at.join(mixed, "band")
-    other = rest.select("band", F.col("id").alias("id2"), F.col("private").alias("private2"), F.col("common").alias("common2"), F.col("root").alias("root2"))
-    open_pair = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & possible
-    pairs = rest.join(other, (rest["band"] == other["band"]) & open_pair).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialise(_verified(pairs, vectors, threshold))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
+    # what is still apart in a bucket: whole groups of documents that meet in buckets, pair by pair in blocks
+    at = rows.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("least")).where("lo <> hi").select("band", "least")
+    apart = materialise(at.join(mixed, "band"))
+    if not apart.isEmpty():
+        more = materialise(_rest(apart, vectors, threshold))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     return members, links, roots
 
 
