@@ -72,6 +72,7 @@ def test_decontamination(spark):
         ("<body><div class='nav-bar'>x</div><main><p>One, two.<p>Three</main><div id=comments><p>Nice text, really nice.</p></div>", "One, two.\n\nThree"),
         ("<article><header><h1>T</h1><p>by me</p></header><section class=comments>c</section><p>Text here.</p><aside>s</aside></article><footer>f</footer>", "T\n\nText here."),
         ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes<!-- <p>no</p> --></p><p cut", "yes"),
+        ("<div class=box><p>Long advert, not named, with much text. And more, and more.</p></div><article><p>Short.</article>", "Short."),
         ("<div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></div>", "a\n\nb\n\nc\n\nd"),
     ],
 )
@@ -112,6 +113,8 @@ def test_encode_table(spark):
     rows = S.decode(S.encode(docs, keep_text=False, check=True)).orderBy("doc_id").collect()
     assert [(r.text, r.lossless, r.ids2) for r in rows] == [(None, True, 5), ("a b", True, 6), ("a b", True, 6)] and rows[0].ids is None
     assert S.encode(docs.where("false")).count() == 0
+    again = S.encode(S.encode(docs, check=True), check=True)
+    assert again.columns == ["doc_id", "text", "ids2", "ids", "lossless"] and again.count() == 3
 
 
 # ---- op5
