@@ -65,7 +65,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     tree = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.max("given").alias("given")).withColumn("segments", segments).withColumn("shapes", F.transform("segments", _shape))
     parent = F.array_join(F.slice("shapes", F.lit(1), F.col("i")), "/")
     places = tree.select("host", "n", F.col("shapes"), F.posexplode("segments").alias("i", "segment")).select("host", parent.alias("parent"), _shape(F.col("segment")).alias("shape"), "segment", "n")
-    varying = (
+    varying = materialise(  # apart from the join, so that Spark can split a hot host there
         places.groupBy("host", "parent", "shape", "segment").agg(F.sum("n").alias("n"))
         .groupBy("host", "parent", "shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
         .select(F.col("host").alias("h"), F.col("parent").alias("p"), F.col("shape").alias("s"), (F.col("shape").contains("#") | ((F.col("d") >= VARIABLE) & (2 * F.col("d") >= F.col("n")))).alias("varies"))
