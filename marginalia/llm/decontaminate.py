@@ -5,11 +5,12 @@ stays, as a random bit for (j, character) says. After an edit two walks tend to
 distance get walks at a small Hamming distance, and keys made of sampled steps collide.
 
 A walk from a position only depends on what follows, so it serves windows of every size that start there: the walk from
-each word of a document is keyed once per repetition and compared with the walks from every word of every item. A hit
-at an item's word o proposes the item-sized window that starts o before it. With q the chance that one aligned word pair
-collides (1 where 32 characters agree, about (1 - h)^SAMPLES at relative Hamming distance h), R repetitions and a anchors
-miss a window with probability (1 - q)^(R a): below 0.001 for items of ten words and a tenth of edited characters. Each
-proposed window is then verified by its exact edit distance (Myers' bit vectors), so precision doesn't rest on hashing.
+each word of a document is keyed once per repetition and compared with the walks from every word of every item that end
+inside it. A hit at an item's word o proposes the item-sized window that starts o before it. Items below the sizes in WALKS
+are keyed with shorter walks too, since they have few words for an edit to leave alone. Short walks hit by chance, so the
+64 characters of the item around the hit (SEGMENT, bit vectors over many hits at once) must be near the text: within the
+item's own edits, or within LOOSE times their share of 64 characters for items so long that this is less. Each window left
+is then verified by its exact edit distance (Myers' bit vectors), so precision doesn't rest on hashing.
 
 Texts and items are compared in lower case with white space runs as one space. Items are shipped to the tasks in blocks of
 at most ITEM_BYTES, a scan of the documents each, so a benchmark of any size works.
@@ -33,41 +34,39 @@ from marginalia.llm.hashing import U, mix
 
 #: Edits per item character up to which a window counts as a copy of the item.
 MAX_EDITS = 0.2
-REPETITIONS, SAMPLES = 4, 12
-#: Steps of a walk, for items of at least so many bytes.
-STEPS = (64, 16)
+#: Walks: steps, sampled steps, repetitions, and the bytes below which items are keyed with them.
+WALKS = ((24, 16, 4, 1 << 62), (16, 14, 2, 160), (12, 12, 1, 96))
+LEAST_BYTES = 16
+SEGMENT, LOOSE = 64, 1.7
 ITEM_BYTES = 4 << 20
-_SLICE = 1 << 17
+_SLICE, _HITS = 1 << 15, 1 << 13
 
 
 def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").split())
 
 
-def _tables(steps: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(steps: int, samples: int, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
     """Moves of the walk, (step, byte) -> 0 or 1; multipliers of the sampled steps, (repetition, step) -> 0 or odd."""
     moves = (mix(np.arange(steps * 256, dtype=np.uint64) + U(steps << 32)) >> U(63)).astype(np.int32).reshape(steps, 256)
-    factors = np.zeros((REPETITIONS, steps), np.uint64)
-    for r in range(REPETITIONS):
-        order = np.argsort(mix(np.arange(steps, dtype=np.uint64) + U((r + 1) << 40)))
-        chosen = order[: min(SAMPLES, steps)]
+    factors = np.zeros((repetitions, steps), np.uint64)
+    for r in range(repetitions):
+        chosen = np.argsort(mix(np.arange(steps, dtype=np.uint64) + U((r + 1) << 40)))[:samples]
         factors[r, chosen] = mix(chosen.astype(np.uint64) + U((r + 1) << 20)) | U(1)
     return moves, factors
 
 
-def walk_keys(text: np.ndarray, starts: np.ndarray, steps: int, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Keys (repetition, start) of the walks over text, which must go on for steps bytes after the last start."""
+def walk_keys(text: np.ndarray, starts: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (repetition, start) and ends of the walks over text, which must go on for their steps after the last start."""
     moves, factors = tables
-    at, keys = starts.astype(np.int32), np.zeros((REPETITIONS, len(starts)), np.uint64)
-    for j in range(steps):
+    at, keys = starts.astype(np.int32), np.zeros((len(factors), len(starts)), np.uint64)
+    for j in range(len(moves)):
         c = text[at]
-        wide = None
-        for r in range(REPETITIONS):
-            if factors[r, j]:
-                wide = c.astype(np.uint64) if wide is None else wide
-                keys[r] += wide * factors[r, j]
+        wide = c.astype(np.uint64)
+        for r in np.flatnonzero(factors[:, j]):
+            keys[r] += wide * factors[r, j]
         at += moves[j][c]
-    return mix(keys)
+    return mix(keys), at
 
 
 def word_starts(text: np.ndarray) -> np.ndarray:
@@ -77,6 +76,12 @@ def word_starts(text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(word)
 
 
+def _classes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of a text, each as one of 64 classes, and the character that each byte is part of."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return (points & 63).astype(np.int64), np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1
+
+
 class Items:
     """Benchmark items and their keys, ready to be looked up."""
 
@@ -84,45 +89,110 @@ class Items:
         self.items = [(i, normal(t)) for i, t in items]
         self.texts = [t.decode("utf-8", "ignore") for _, t in self.items]
         self.max_edits = max_edits
-        self.tiers = []
-        longer = 1 << 62
-        for steps in STEPS:
-            tables = _tables(steps)
-            known: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in range(REPETITIONS)]
-            seen = [np.zeros(1 << 20, bool) for _ in range(REPETITIONS)]
-            own = [k for k, (_, t) in enumerate(self.items) if steps <= len(t) < longer]
-            longer = steps
-            for k in own:
-                text = np.frombuffer(self.items[k][1], np.uint8)
-                starts = word_starts(text)
-                starts = starts[starts <= len(text) - steps]
-                keys = walk_keys(np.append(text, np.zeros(steps, np.uint8)), starts, steps, tables)
-                for r in range(REPETITIONS):
-                    seen[r][(keys[r] & U(0xFFFFF)).astype(np.int64)] = True
-                    for key, o in zip(keys[r].tolist(), starts.tolist()):
-                        known[r][key].append((k, o))
-            if own:
-                self.tiers.append((steps, tables, known, seen))
+        #: Per segment the positions of each class as bits, its characters, and the edits that it may have.
+        masks: list[np.ndarray] = []
+        sizes: list[int] = []
+        limits: list[int] = []
+        anchors: list[tuple[int, int, int, int]] = []  # item, byte, segment, characters from the segment's start
+        tables = [_tables(*w[:3]) for w in WALKS]
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in WALKS]
+        for k, (_, t) in enumerate(self.items):
+            if len(t) < LEAST_BYTES:
+                continue
+            classes, char = _classes(t)
+            text, n, most = np.frombuffer(t, np.uint8), len(classes), int(max_edits * len(classes))
+            first = len(sizes)
+            begins = list(range(0, max(n - SEGMENT, 0), SEGMENT // 2)) + [max(n - SEGMENT, 0)]
+            for s in begins:
+                mask = np.zeros(64, np.uint64)
+                part = classes[s : s + SEGMENT]
+                np.bitwise_or.at(mask, part, U(1) << np.arange(len(part), dtype=np.uint64))
+                masks.append(mask)
+                sizes.append(len(part))
+                limits.append(min(most, int(LOOSE * max_edits * SEGMENT)))
+            starts, base = word_starts(text), len(anchors)
+            for o in starts.tolist():
+                own = min(max(int(char[o]) - SEGMENT // 4, 0) // (SEGMENT // 2), len(begins) - 1)
+                anchors.append((k, o, first + own, int(char[o]) - begins[own]))
+            for (steps, _, _, below), table, out in zip(WALKS, tables, found):
+                if len(t) < below:
+                    keys, ends = walk_keys(np.append(text, np.zeros(steps + 1, np.uint8)), starts, table)
+                    inside = np.flatnonzero(ends <= len(t))
+                    out.append((keys[:, inside], base + inside))
+        self.masks, self.sizes, self.limits = np.concatenate([*masks, np.zeros(0, np.uint64)]), np.array(sizes, np.int64), np.array(limits, np.int64)
+        self.anchors = np.array(anchors, np.int64).reshape(-1, 4)
+        self.reach = int(self.limits.max(initial=0))
+        #: Per walk: its tables, and per repetition the sorted keys, their anchors and the last bits that occur.
+        self.walks = []
+        for table, out in zip(tables, found):
+            if not out:
+                continue
+            keys, own = np.concatenate([x for x, _ in out], axis=1), np.concatenate([x for _, x in out])
+            known = []
+            for of in keys:
+                order = np.argsort(of, kind="stable")
+                seen = np.zeros(1 << 20, bool)
+                seen[(of & U(0xFFFFF)).astype(np.int64)] = True
+                known.append((of[order], own[order], seen))
+            self.walks.append((table, known))
 
     def windows(self, texts: list[bytes]) -> dict[tuple[int, int], set[int]]:
         """(text, item) -> proposed starts of a window."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for steps, tables, known, seen in self.tiers:
-            gap = bytes(steps + 1)
-            whole = np.frombuffer(gap.join(texts) + gap, np.uint8)
-            begins = np.cumsum([0, *(len(t) + len(gap) for t in texts)])
-            every = word_starts(whole)
-            for s in range(0, len(every), _SLICE):
-                starts = every[s : s + _SLICE]
-                base = int(starts[0])
-                keys = walk_keys(whole[base : int(starts[-1]) + steps + 1], starts - base, steps, tables)
-                for r in range(REPETITIONS):
-                    for i in np.flatnonzero(seen[r][(keys[r] & U(0xFFFFF)).astype(np.int64)]).tolist():
-                        for k, o in known[r].get(int(keys[r, i]), ()):
-                            d = int(np.searchsorted(begins, starts[i], "right")) - 1
-                            found[d, k].add(int(starts[i]) - int(begins[d]) - o)
+        if not self.walks:
+            return found
+        gap = bytes(max(w[0] for w in WALKS) + 1)
+        joined = gap.join(texts) + gap
+        whole = np.frombuffer(joined, np.uint8)
+        begins = np.cumsum([0, *(len(t) + len(gap) for t in texts)])
+        classes, char = _classes(joined)
+        pad = np.zeros(SEGMENT + 2 * self.reach + max(int(self.anchors[:, 3].max(initial=0)), 1), np.int64)
+        classes = np.concatenate([pad, classes, pad])
+        every = word_starts(whole)
+        for s in range(0, len(every), _SLICE):
+            starts = every[s : s + _SLICE]
+            base = int(starts[0])
+            part = whole[base : int(starts[-1]) + len(gap)]
+            hits = []
+            for table, known in self.walks:
+                keys, _ = walk_keys(part, starts - base, table)
+                for of, (sorted_keys, own, seen) in zip(keys, known):
+                    at = np.flatnonzero(seen[(of & U(0xFFFFF)).astype(np.int64)])
+                    low = np.searchsorted(sorted_keys, of[at], "left")
+                    n = np.searchsorted(sorted_keys, of[at], "right") - low
+                    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    hits.append(np.repeat(starts[at], n) << 32 | own[np.repeat(low, n) + nth])
+            hit = np.unique(np.concatenate(hits))
+            at, anchor = hit >> 32, self.anchors[hit & 0xFFFFFFFF]
+            # one look for all hits that put a segment at the same place
+            place, segment = char[at] - anchor[:, 3] + len(pad), anchor[:, 2]
+            _, once = np.unique(place << 32 | segment, return_index=True)
+            for c in range(0, len(once), _HITS):
+                own = once[c : c + _HITS]
+                own = own[self._near(classes, place[own], segment[own])]
+                d = np.searchsorted(begins, at[own], "right") - 1
+                for text, k, start in zip(d.tolist(), anchor[own, 0].tolist(), (at[own] - begins[d] - anchor[own, 1]).tolist()):
+                    found[text, k].add(start)
         return found
 
+    def _near(self, classes: np.ndarray, place: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Whether the segments are within their limits of a part of the text around place (Myers' bit vectors, a word each)."""
+        one, row = U(1), segment << 6
+        last = (self.sizes[segment] - 1).astype(np.uint64)
+        pv, mv = np.full(len(segment), ~U(0)), np.zeros(len(segment), np.uint64)
+        score = self.sizes[segment].copy()
+        best = score.copy()
+        for j in range(-self.reach, SEGMENT + self.reach):
+            eq = self.masks[row + classes[place + j]]
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += (ph >> last & one).astype(np.int64) - (mh >> last & one).astype(np.int64)
+            ph, mh = ph << one, mh << one
+            pv, mv = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+        return best <= self.limits[segment]
+
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Per text: (item id, least edits, characters of the item) of the items it contains."""
         plain_texts = [normal(t) if t else b"" for t in texts]

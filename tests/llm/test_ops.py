@@ -62,6 +62,29 @@ def test_decontamination(spark):
     assert D.contamination(docs, bench.where("false")).count() == 0 and D.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_recall():
+    """Copies with substitutions, insertions and deletions up to MAX_EDITS, of items of all sizes."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8)))
+    for size in (64, 80, 97, 128, 165, 250, 400):
+        for share in (0.1, 0.15, D.MAX_EDITS):
+            items, docs = [], []
+            for i in range(40):
+                item = " ".join(word() for _ in range(size))[:size].strip()
+                copy = list(item)
+                for _ in range(int(share * len(item))):
+                    at, kind = rnd.randrange(len(copy)), rnd.randrange(3)
+                    copy[at : at + (kind != 1)] = [] if kind == 2 else [rnd.choice("abcdefghij ")]
+                items.append((i, item))
+                docs.append(f"{word()} {''.join(copy)} {word()}")
+            edits = [edit_within(item, " ".join(doc.split())) for (_, item), doc in zip(items, docs)]
+            want = {i for i, e in enumerate(edits) if e <= int(D.MAX_EDITS * len(items[i][1]))}
+            got = D.Items(items).matches(docs)
+            assert all(len(g) <= 1 for g in got)
+            assert len({i for i in want if [i] == [x for x, _, _ in got[i]]}) >= 0.95 * len(want) and len(want) >= 38, (size, share)
+            assert all(e == edits[i] for i, g in enumerate(got) for x, e, _ in g if x == i)
+
+
 # ---- op2
 
 
