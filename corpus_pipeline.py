@@ -39,8 +39,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their piece ids."""
-    return encode(docs)
+    """All documents with their piece ids, and whether decoding these gives the text back."""
+    return encode(docs, check=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

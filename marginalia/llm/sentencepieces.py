@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Merge-type segmentation by an agenda: candidate merges of neighbouring symbols wait in a heap, best score first and then
-leftmost. A candidate that comes up is skipped when a keyed hash of (seed, variant, word, position, piece) falls below
-the dropout rate; it may come back when a neighbour has grown. So a seed always gives the same segmentation, seeds and
-variants give different ones, and a rate of 0 gives the model's own. The variant of a text is drawn from its content.
+leftmost. A candidate that comes up is skipped at the dropout rate; it may come back when a neighbour has grown. Each
+occurrence of a word draws anew, from a hash of (seed, text, place in the text): so a seed always gives the same
+segmentation, the occurrences of a word differ, and a rate of 0 gives the model's own.
+
+What is drawn is how many candidates come up before the next skipped one, which has a geometric distribution. A word's
+segmentations are remembered by the numbers of its skipped candidates, so a draw beyond the last candidate takes one look.
 
 No piece of such a model spans the border before a space that follows something else, nor a line feed, so texts are
-segmented word by word and the segmentations of words are remembered per variant.
+segmented word by word.
 
 Decoding is exact: a literal U+2581 in a text is written as its bytes, so that it cannot be taken for a space.
 
@@ -17,9 +20,10 @@ remembered; repeated rows are encoded each; an empty table gives an empty table;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from math import log, log1p
 from operator import add
 
 import numpy as np
@@ -31,37 +35,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from marginalia.llm.common import plain
+from marginalia.llm.hashing import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 2
 SPACE_MARK = "▁"
-_REMEMBERED, _LONG, _NEVER = 150_000, 64, 1 << 62
+_REMEMBERED, _LONG, _NEVER = 250_000, 64, 1 << 62
 _PARTS = re.compile(rf"\n|{SPACE_MARK}+(?=\n)|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 
 
 class _Memory(dict):
-    def __init__(self, segment, key: int) -> None:
-        self.segment, self.key = segment, key
+    """Word -> [ids, candidates that came up, what follows by the next skipped candidate]; no ids for long words."""
+
+    def __init__(self, codec: Codec, parts: Callable[[str], list[str]]) -> None:
+        self.codec, self.parts, self.held = codec, parts, 0
+
+    def __missing__(self, word: str | None) -> list:
+        if word is None:  # a literal space mark
+            return [tuple(self.codec.byte_ids[x] for x in SPACE_MARK.encode()), 0, None]
+        if len(word) > _LONG:
+            return [None, _NEVER + 1, None]
+        self.count()
+        self[word] = node = [*self.codec.pieces(self.parts(word), iter((_NEVER,))), None]
+        return node
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.segment(word, self.key)
-        if len(word) <= _LONG:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def count(self) -> None:
+        self.held += 1
+        if self.held > _REMEMBERED:
+            self.clear()
+            self.held = 1
 
 
 class Codec:
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        #: The keyed hash ends in this table: whether a candidate with these last 16 bits is skipped.
-        self.drops = bytes(xxhash.xxh32_intdigest(i.to_bytes(2), seed & 0xFFFFFFFF) < dropout * 2**32 for i in range(1 << 16)) if dropout else b""
-        self.seed, self.variants = seed, max(1, variants)
+        self.seed = seed
+        #: The logarithm of a uniform number times this is how many candidates come up before a skipped one.
+        self.scale = 0.0 if dropout <= 0 else 1 / log1p(-dropout) if dropout < 1 else -0.0
+        self.dropout = dropout
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
         self.ids: dict[str, int] = {}
@@ -84,17 +98,21 @@ class Codec:
         self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.memory = [_Memory(self._segment, xxhash.xxh32_intdigest(f"{seed} {v}")) for v in range(self.variants)]
-        self.words = [_Memory(lambda w, v: tuple(chain.from_iterable(map(self.memory[v].__getitem__, _PARTS.findall(SPACE_MARK + w)))), v) for v in range(self.variants)]
-
-    def _segment(self, word: str, key: int) -> tuple[int, ...]:
-        symbols: list[str] = list(word)
-        n = len(symbols)
-        find, drops = self.rank.get, self.drops
-        key = xxhash.xxh32_intdigest(word, key)
-        if n <= _LONG:
-            self._merge_short(symbols, key)
-            return self._ids(symbols)
+        self.memory = _Memory(self, lambda w: [w])
+        self.words = _Memory(self, lambda w: _PARTS.findall(SPACE_MARK + w))
+
+    def pieces(self, parts: list[str], skips: Iterator[int]) -> tuple[tuple[int, ...], int]:
+        """Ids of the parts where the candidates of these (ascending) numbers are skipped, and how many came up."""
+        out: list[int] = []
+        n, skip = 0, next(skips)
+        for part in parts:
+            symbols: list[str] = list(part)
+            n, skip = (self._merge_short if len(symbols) <= _LONG else self._merge_long)(symbols, n, skip, skips)
+            out += self._ids(filter(None, symbols))
+        return tuple(out), n
+
+    def _merge_long(self, symbols: list[str], came: int, skip: int, skips: Iterator[int]) -> tuple[int, int]:
+        n, find = len(symbols), self.rank.get
         agenda = [(r, i, i + 1, p) for i, p in enumerate(map(add, symbols, symbols[1:])) if (r := find(p)) is not None]
         heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -103,7 +121,9 @@ class Codec:
             left, right = symbols[a], symbols[b]
             if not left or not right or len(left) + len(right) != len(piece):
                 continue  # one of the two has grown or gone
-            if drops and drops[(r * 40503 + a * 30011 + key) & 0xFFFF]:
+            came += 1
+            if came > skip:
+                skip = next(skips)
                 continue
             symbols[a], symbols[b] = piece, ""
             c = after[a] = after[b]
@@ -114,15 +134,17 @@ class Codec:
             p = before[a]
             if p >= 0 and (r := find(joined := symbols[p] + piece)) is not None:
                 heappush(agenda, (r, p, a, joined))
-        return self._ids(filter(None, symbols))
+        return came, skip
 
-    def _merge_short(self, symbols: list[str], key: int) -> None:
-        """The same in place, with the agenda as a list of each symbol pair's rank: quicker than a heap for few symbols."""
-        find, drops = self.rank.get, self.drops
+    def _merge_short(self, symbols: list[str], came: int, skip: int, skips: Iterator[int]) -> tuple[int, int]:
+        """The same with the agenda as a list of each symbol pair's rank: quicker than a heap for few symbols."""
+        find = self.rank.get
         agenda = [find(p, _NEVER) for p in map(add, symbols, symbols[1:])]
         while agenda and (r := min(agenda)) != _NEVER:
             i = agenda.index(r)
-            if drops and drops[(r * 40503 + i * 30011 + key) & 0xFFFF]:
+            came += 1
+            if came > skip:
+                skip = next(skips)
                 agenda[i] = _NEVER
                 continue
             symbols[i] = piece = symbols[i] + symbols[i + 1]
@@ -131,6 +153,49 @@ class Codec:
                 agenda[i] = find(piece + symbols[i + 1], _NEVER)
             if i:
                 agenda[i - 1] = find(symbols[i - 1] + piece, _NEVER)
+        return came, skip
+
+    def _further(self, key: int) -> Iterator[int]:
+        """Numbers of candidates before the next skipped one, after the first such number of an occurrence."""
+        while True:
+            key = (key * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+            yield int(log(((key >> 11) + 1) * 2.0**-53) * self.scale)
+
+    def _skipping(self, memory: _Memory, word: str, node: list, first: int, key: int) -> tuple[int, ...]:
+        """Ids of an occurrence in which a candidate is skipped, or of a long word."""
+        if node[0] is None:
+
+            def numbers() -> Iterator[int]:
+                at = first
+                yield at
+                for n in self._further(key):
+                    at += 1 + n
+                    yield at
+
+            return self.pieces(memory.parts(word), numbers())[0]
+        skips: tuple[int, ...] = ()
+        further = self._further(key)
+        while first < node[1]:
+            skips += (first,)
+            if node[2] is None:
+                node[2] = {}
+            child = node[2].get(first)
+            if child is None:
+                child = [*self.pieces(memory.parts(word), iter((*skips, _NEVER))), None]
+                memory.count()
+                node[2][first] = child
+            node = child
+            first += 1 + next(further)
+        return node[0]
+
+    def _all(self, text: str, memory: _Memory, words: list[str | None]) -> np.ndarray:
+        nodes = map(memory.__getitem__, words)
+        if not self.dropout > 0:
+            return np.fromiter(chain.from_iterable(n[0] if n[0] is not None else self._skipping(memory, w, n, _NEVER, 0) for n, w in zip(nodes, words)), np.int32)
+        keys = mix(np.arange(len(words), dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(xxhash.xxh3_64_intdigest(text, self.seed)))
+        first = (np.log(((keys >> U(11)).astype(np.float64) + 1) * 2.0**-53) * self.scale).astype(np.int64).tolist()
+        ids = [n[0] if k >= n[1] else self._skipping(memory, words[j], n, k, int(keys[j])) for j, (n, k) in enumerate(zip(nodes, first))]
+        return np.fromiter(chain.from_iterable(ids), np.int32)
 
     def _ids(self, symbols: Iterable[str]) -> tuple[int, ...]:
         out: list[int] = []
@@ -145,24 +210,20 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        variant = xxhash.xxh3_64_intdigest(text, self.seed) % self.variants
-        memory = self.memory[variant]
         if SPACE_MARK in text:
-            return np.array(self._guarded(text, memory), np.int32)
+            return self._all(text, self.memory, self._guarded(text))
         if not ("  " in text or text[0] == " " or text[-1] == " "):  # single spaces only: a mark before each word
-            return np.fromiter(chain.from_iterable(map(self.words[variant].__getitem__, text.split(" "))), np.int32)
-        words = _PARTS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
-        return np.fromiter(chain.from_iterable(map(memory.__getitem__, words)), np.int32)
+            return self._all(text, self.words, text.split(" "))
+        return self._all(text, self.memory, _PARTS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)))
 
-    def _guarded(self, text: str, memory: _Memory) -> list[int]:
-        """Where the text holds the space mark: that as its bytes, and what lies between by itself."""
-        out: list[int] = []
+    def _guarded(self, text: str) -> list[str | None]:
+        """Words of a text that holds the space mark: None for that, and what lies between by itself."""
+        out: list[str | None] = []
         for k, part in enumerate(re.split(f"({SPACE_MARK})", text)):
             if part == SPACE_MARK:
-                out += [self.byte_ids[x] for x in part.encode()]
+                out.append(None)
             else:
-                for w in _PARTS.findall((SPACE_MARK if not k else "") + part.replace(" ", SPACE_MARK)):
-                    out += memory[w]
+                out += _PARTS.findall((SPACE_MARK if not k else "") + part.replace(" ", SPACE_MARK))
         return out
 
     def decode(self, ids) -> str:
@@ -188,7 +249,7 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_text: bool = True, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, keep_text: bool = True, check: bool = False) -> DataFrame:
     """docs and their ids (in place of columns of the same names); with check also lossless, whether decoding the ids gives the text back."""
     proto, at = _model(model), docs.columns.index(text_col)
     kept = [i for i, c in enumerate(docs.columns) if (keep_text or c != text_col) and c != ids_col and not (check and c == "lossless")]
@@ -198,7 +259,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
         schema = schema.add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(proto, dropout, seed, variants)
+        codec = _codec(proto, dropout, seed)
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 batch = whole.slice(s, 2000)
@@ -220,7 +281,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "text", mode
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        codec = _codec(proto, 0.0, 0, 1)
+        codec = _codec(proto, 0.0, 0)
         return ids.map(lambda x: None if x is None else codec.decode(x))
 
     return tokens.withColumn(text_col, text(plain(ids_col)))

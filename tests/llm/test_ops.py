@@ -140,6 +140,23 @@ def test_encode_table(spark):
     assert again.columns == ["doc_id", "text", "ids2", "ids", "lossless"] and again.count() == 3
 
 
+def test_dropout_varies_by_occurrence():
+    model = open(S.MODEL, "rb").read()
+    codec, own = S.Codec(model, 0.1), tuple(S.Codec(model, 0.0).encode("international").tolist())
+    for text in (" ".join(["international"] * 3000), "  ".join(["international"] * 3000), "\n ".join(["international"] * 3000), "▁ ".join(["international"] * 3000), " ".join(["international" * 9] * 300)):
+        ids = codec.encode(text).tolist()
+        assert codec.decode(ids) == text and ids == S.Codec(model, 0.1).encode(text).tolist()
+    words, ids = [], codec.encode(" ".join(["international"] * 3000)).tolist()
+    for i in ids:
+        if codec.bytes[i][:1] == b" ":
+            words.append(())
+        words[-1] += (i,)
+    times = Counter(words)
+    assert len(words) == 3000 and len(times) > 5  # within one text
+    n = codec.words["international"][1]  # an occurrence with no skipped candidate has the model's own pieces
+    assert n > 3 and 0.9**n - 0.04 < times[own] / 3000
+
+
 # ---- op5
 
 
