@@ -5,11 +5,14 @@ Explicit rules judge the urls they fit; the tree judges the rest.
 1. Segments that vary become wildcards. The children of a tree node are grouped by shape (digit runs as '#'); a shape with
    digits, or with VARIABLE or more distinct segments that make up at least half of its urls, is written as its shape with
    '*' for what varies; other segments stay. Statistics are sums over (host, parent, shape), whatever the size of a host.
-2. Each node of the tree of templates counts its labelled urls (those that a rule fits) and how many are blocked. A node
-   whose rate doesn't differ from its siblings' (two-proportion test at Z) is merged with them: it takes the counts of all.
-3. A template's purity is that of its deepest node with labels, smoothed towards the share of blocked urls over all
-   labelled ones by SMOOTH pseudo-urls. Templates whose purity of blocked urls exceeds PURITY are rejected. Templates
-   without labels at any node below the host are allowed: nothing speaks against them.
+2. A template's branch of the tree has two parts: the prefixes of its path, which all hosts share (``/es``, ``/es/*``), and below
+   them the host with its own prefixes. Each node counts its labelled urls (those that a rule fits) and how many are blocked.
+   A node whose rate doesn't differ from its siblings' (two-proportion test at Z) is merged with them: it takes the counts
+   of all.
+3. A template's purity goes down its branch: it begins as the share of blocked urls over all labelled ones, and at each node
+   becomes (blocked + SMOOTH * purity above) / (labelled + SMOOTH). So a host without labels has the purity of its path's
+   shape elsewhere. Templates above PURITY are rejected, but not where the whole branch is without labels: the share over
+   all urls alone is no evidence. The column level names the deepest node with labels: path or host, and its depth.
 
 Defined cases: a null url, or one without '://', has an empty host and path and is allowed; nothing is decoded, so odd
 characters stay; repeated rows are judged (and count) each; an empty table gives an empty result.
@@ -54,7 +57,7 @@ def _shape(segment: Column) -> Column:
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """Per row of pages: id, host, path, rule, verdict, template and purity (null where the tree has no labels)."""
+    """Per row of pages: id, host, path, rule, verdict, template, purity and level (null: no labels on the branch)."""
     named = pages.select(plain(id_col).alias("id"), plain(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     urls = named.select("id", host.alias("host"), path.alias("path"))
@@ -80,32 +83,42 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         tree.select("host", "path", "n", "given").join(templates, ["host", "path"], "left").select("host", "path", "n", "given", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
     )
 
-    nodes = F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice("t", F.lit(1), k - 1), "/").alias("up"), F.array_join(F.slice("t", F.lit(1), k), "/").alias("node")))
-    branches = rows.where(F.size("t") > 0)
-    counts = (
-        branches.where("given IS NOT NULL").select("host", "n", (F.col("given") == "block").alias("bad"), F.explode(nodes).alias("x"))
-        .groupBy("host", "x.depth", "x.up", "x.node").agg(F.sum("n").alias("labels"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked"))
+    upto = lambda k: F.array_join(F.slice("t", F.lit(1), k), "/")
+    every = F.sequence(F.lit(0), F.size("t"))
+    node = lambda kind, host: lambda k: F.struct(F.lit(kind).alias("kind"), host.alias("of"), k.alias("depth"), F.when(k > 0, upto(k - 1)).alias("up"), upto(k).alias("node"))
+    nodes = F.concat(F.filter(F.transform(every, node(0, F.lit(""))), lambda x: x["depth"] > 0), F.transform(every, node(1, F.col("host"))))
+    branches = rows.where("host <> ''")
+    # apart from the joins, so that Spark can split a node of very many templates there
+    counts = materialise(
+        branches.where("given IS NOT NULL").select("n", (F.col("given") == "block").alias("bad"), F.explode(nodes).alias("x"))
+        .groupBy("x.kind", "x.of", "x.depth", "x.up", "x.node").agg(F.sum("n").alias("labels"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked"))
     )
-    family = counts.groupBy(F.col("host").alias("fh"), F.col("depth").alias("fd"), F.col("up").alias("fu")).agg(F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
+    family = counts.where("depth > 0").groupBy(F.col("kind").alias("fk"), F.col("of").alias("fo"), F.col("depth").alias("fd"), F.col("up").alias("fu")).agg(F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
     rest_n, rest_b = F.col("all_labels") - F.col("labels"), F.col("all_blocked") - F.col("blocked")
     share = F.col("all_blocked") / F.col("all_labels")
     error = F.sqrt(share * (1 - share) * (1 / F.col("labels") + 1 / rest_n))
     alike = (rest_n > 0) & (F.abs(F.col("blocked") / F.col("labels") - rest_b / rest_n) <= Z * error)
-    merged = counts.join(family, (F.col("host") == F.col("fh")) & (F.col("depth") == F.col("fd")) & (F.col("up") == F.col("fu"))).select(
-        F.col("host").alias("mh"), F.col("node").alias("mn"), F.when(alike, F.col("all_labels")).otherwise(F.col("labels")).alias("labels"), F.when(alike, F.col("all_blocked")).otherwise(F.col("blocked")).alias("blocked")
-    )
+    kin = (F.col("kind") == F.col("fk")) & (F.col("of") == F.col("fo")) & (F.col("depth") == F.col("fd")) & (F.col("up") == F.col("fu"))
+    merged = materialise(counts.join(family, kin, "left").select(
+        F.col("kind").alias("mk"), F.col("of").alias("mo"), F.col("node").alias("mn"), F.col("depth").alias("md"),
+        F.when(alike, F.col("all_labels")).otherwise(F.col("labels")).cast("double").alias("labels"), F.when(alike, F.col("all_blocked")).otherwise(F.col("blocked")).cast("double").alias("blocked"),
+    ))
     totals = rows.where("given IS NOT NULL").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given") == "block", F.col("n")).otherwise(0)).alias("b")).first()
     prior = totals.b / totals.n if totals.n else 0.0
     template = F.concat(F.lit("/"), F.array_join("t", "/"))
+    deeper = lambda p, c: (c["blocked"] + SMOOTH * p) / (c["labels"] + SMOOTH)
+    last = F.element_at("branch", -1)
     purity = (
         branches.select("host", template.alias("template"), "t").distinct().select("host", "template", F.explode(nodes).alias("x"))
-        .join(merged, (F.col("host") == F.col("mh")) & (F.col("x.node") == F.col("mn")))
-        .groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.max_by(F.struct("labels", "blocked"), "x.depth").alias("c"))
-        .select("ph", "pt", ((F.col("c.blocked") + SMOOTH * prior) / (F.col("c.labels") + SMOOTH)).alias("purity"))
+        .join(merged, (F.col("x.kind") == F.col("mk")) & (F.col("x.of") == F.col("mo")) & (F.col("x.depth") == F.col("md")) & (F.col("x.node") == F.col("mn")))
+        .groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.array_sort(F.collect_list(F.struct("mk", "md", "labels", "blocked"))).alias("branch"))
+        .select("ph", "pt", F.aggregate("branch", F.lit(float(prior)), deeper).alias("purity"), F.concat(F.when(last["mk"] == 0, "path ").otherwise("host "), last["md"].cast("string")).alias("level"))
     )
-    judged = rows.select("host", "path", template.alias("template")).join(purity, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")), "left").select(F.col("host").alias("jh"), F.col("path").alias("jp"), "template", "purity")
+    judged = rows.select("host", "path", template.alias("template")).join(purity, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")), "left").select(F.col("host").alias("jh"), F.col("path").alias("jp"), "template", "purity", "level")
     method = F.when(F.col("purity") > PURITY, "block").otherwise("allow")
-    return urls.join(judged, (F.col("host") == F.col("jh")) & (F.col("path") == F.col("jp"))).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "purity")
+    return urls.join(judged, (F.col("host") == F.col("jh")) & (F.col("path") == F.col("jp"))).select(
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", F.coalesce("purity", F.lit(float(prior))).alias("purity"), "level"
+    )
 
 
 _FITS = " ".join(
@@ -141,28 +154,32 @@ written AS (
 ),
 templates AS (SELECT host, path, list(w ORDER BY i) AS t FROM written GROUP BY host, path),
 rows_ AS (SELECT r.host, r.path, r.n, r.given, coalesce(t.t, CAST([] AS VARCHAR[])) AS t FROM tree r LEFT JOIN templates t ON r.host = t.host AND r.path = t.path),
+spots AS (SELECT host, path, n, given, '/' || array_to_string(t, '/') AS template, t, unnest(range(0, len(t) + 1)) AS k FROM rows_ WHERE host <> ''),
 nodes AS (
-  SELECT host, path, n, given, '/' || array_to_string(t, '/') AS template, k AS depth, array_to_string(t[1 : k - 1], '/') AS up, array_to_string(t[1 : k], '/') AS node
-  FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM rows_)
+  SELECT host, template, n, given, kind, CASE kind WHEN 0 THEN '' ELSE host END AS of, k AS depth, CASE WHEN k > 0 THEN array_to_string(t[1 : k - 1], '/') END AS up, array_to_string(t[1 : k], '/') AS node
+  FROM spots, (VALUES (0), (1)) AS kinds(kind) WHERE kind = 1 OR k > 0
 ),
 counts AS (
-  SELECT host, depth, up, node, CAST(sum(n) AS DOUBLE) AS labels, CAST(sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS DOUBLE) AS blocked
-  FROM nodes WHERE given IS NOT NULL GROUP BY host, depth, up, node
+  SELECT kind, of, depth, up, node, CAST(sum(n) AS DOUBLE) AS labels, CAST(sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS DOUBLE) AS blocked
+  FROM nodes WHERE given IS NOT NULL GROUP BY ALL
 ),
-family AS (SELECT *, sum(labels) OVER f AS all_labels, sum(blocked) OVER f AS all_blocked FROM counts WINDOW f AS (PARTITION BY host, depth, up)),
+family AS (SELECT *, sum(labels) OVER f AS all_labels, sum(blocked) OVER f AS all_blocked FROM counts WINDOW f AS (PARTITION BY kind, of, depth, up)),
 tested AS (
-  SELECT *, CASE WHEN all_labels > labels THEN abs(blocked / labels - (all_blocked - blocked) / (all_labels - labels)) <= {Z} * sqrt(
+  SELECT *, CASE WHEN depth > 0 AND all_labels > labels THEN abs(blocked / labels - (all_blocked - blocked) / (all_labels - labels)) <= {Z} * sqrt(
     all_blocked / all_labels * (1 - all_blocked / all_labels) * (1 / labels + 1 / (all_labels - labels))) ELSE false END AS alike FROM family
 ),
-merged AS (SELECT host, node, CASE WHEN alike THEN all_labels ELSE labels END AS labels, CASE WHEN alike THEN all_blocked ELSE blocked END AS blocked FROM tested),
+merged AS (SELECT kind, of, depth, node, CASE WHEN alike THEN all_labels ELSE labels END AS labels, CASE WHEN alike THEN all_blocked ELSE blocked END AS blocked FROM tested),
 prior AS (SELECT coalesce(CAST(sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS DOUBLE) / sum(n), 0) AS p FROM rows_ WHERE given IS NOT NULL),
+branch AS (
+  SELECT n.host, n.template, list({{'l': m.labels, 'p': m.blocked}} ORDER BY n.kind, n.depth) AS b, max(n.kind * 1000000 + n.depth) AS deepest
+  FROM (SELECT DISTINCT host, template, kind, of, depth, node FROM nodes) n JOIN merged m ON n.kind = m.kind AND n.of = m.of AND n.depth = m.depth AND n.node = m.node GROUP BY n.host, n.template
+),
 purity AS (
-  SELECT host, template, (blocked + {SMOOTH} * (SELECT p FROM prior)) / (labels + {SMOOTH}) AS purity FROM (
-    SELECT n.host, n.template, arg_max(m.blocked, n.depth) AS blocked, arg_max(m.labels, n.depth) AS labels
-    FROM (SELECT DISTINCT host, template, depth, node FROM nodes) n JOIN merged m ON n.host = m.host AND n.node = m.node GROUP BY n.host, n.template)
+  SELECT host, template, list_reduce(list_prepend({{'l': CAST(0 AS DOUBLE), 'p': (SELECT p FROM prior)}}, b), lambda a, x: {{'l': x.l, 'p': (x.p + {SMOOTH} * a.p) / (x.l + {SMOOTH})}}).p AS purity,
+         CASE WHEN deepest < 1000000 THEN 'path ' ELSE 'host ' END || CAST(deepest % 1000000 AS VARCHAR) AS level FROM branch
 )
 SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.given, CASE WHEN p.purity > {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
-       '/' || array_to_string(r.t, '/') AS template, p.purity
+       '/' || array_to_string(r.t, '/') AS template, coalesce(p.purity, (SELECT p FROM prior)) AS purity, p.level
 FROM urls u JOIN rows_ r ON u.host = r.host AND u.path = r.path
 LEFT JOIN purity p ON p.host = u.host AND p.template = '/' || array_to_string(r.t, '/')
 """

@@ -262,5 +262,19 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_verdicts(pages).collect()}
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and got[1] == ("example.com", "/en/2", "example.com/en/", "block")
     assert got[2] == ("a.net", "/es/3.html", "net/es/", "block") and got[3] == got[4] == ("", "", None, "allow") and got[5] == ("x.com", "", None, "allow")
-    assert got[6][:3] == ("b.net", "/fr", None) and got[6][3] == "block"  # its only labelled branch is blocked
+    assert got[6][:3] == ("b.net", "/fr", None) and got[6][3] == "block"  # its only labelled branch is blocked; /fr fits no rule
     assert len(got) == len(urls) and url_verdicts(pages.where("false")).count() == 0
+
+
+def test_url_templates_decide(spark):
+    """Urls without a rule: shapes that other hosts' labels speak about, shapes without labels, ties, odd urls, clashing columns."""
+    urls = [f"http://h{i}.net/{c}/{k}" for i in range(4) for k in range(5) for c in ("es", "fr")] + [f"http://h{i}.com/de/{k}.html" for i in range(4) for k in range(5)]
+    urls += ["http://new.org/es/1", "http://new.org/es/2", "http://old.org/de/7.html", "http://odd.org/it/1", "http://odd.org", "http://long.org/" + "a/" * 500, "http://long.org/" + "x" * 100_000, "none", None]
+    pages = spark.createDataFrame([(i, u, "v", 1.0) for i, u in enumerate(urls)], "page_id long, url string, verdict string, purity double")
+    got = {urls[r.page_id]: r for r in url_verdicts(pages).collect()}
+    assert len(got) == len(urls)
+    assert (got["http://new.org/es/1"].verdict, got["http://new.org/es/1"].level, got["http://new.org/es/1"].rule) == ("block", "path 2", None) and got["http://new.org/es/1"].purity > 0.9
+    assert (got["http://old.org/de/7.html"].verdict, got["http://old.org/de/7.html"].level) == ("allow", "path 2") and got["http://old.org/de/7.html"].purity < 0.1
+    assert all(got[u].verdict == "allow" and got[u].level is None for u in ("http://odd.org/it/1", "http://odd.org", "none", None))
+    twice = url_verdicts(pages.unionByName(pages)).collect()
+    assert len(twice) == 2 * len(urls) and {(r.page_id, r.verdict) for r in twice} == {(r.page_id, r.verdict) for r in got.values()}
