@@ -12,7 +12,7 @@ from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.decontaminate import contamination
 from marginalia.llm.html_text import extract_text
 from marginalia.llm.langid import language_id
-from marginalia.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
+from marginalia.llm.line_dedup import RATIO, Z, line_dedup
 from marginalia.llm.near_dedup import near_dedup
 from marginalia.llm.quality import SQL as OP5_SQL
 from marginalia.llm.quality import quality_verdicts
@@ -65,20 +65,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS own
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
+lines AS (
+  SELECT page, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS own
+  FROM (SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pages)
 ),
 totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-counted AS (SELECT source, own, count(DISTINCT doc_id) AS n FROM lines WHERE own <> '' GROUP BY source, own),
+counted AS (SELECT source, own, count(DISTINCT page) AS n FROM lines WHERE own <> '' GROUP BY source, own),
 bad AS (
-  SELECT c.source, c.own FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {MIN_PAGES} AND c.n > CAST({RATIO} AS DOUBLE) * t.pages
+  SELECT source, own FROM (
+    SELECT c.source, c.own, t.pages, (c.n - 1) - CAST({RATIO} AS DOUBLE) * (t.pages - 1) AS above FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source)
+  WHERE above > 0 AND above * above > CAST({Z * Z * RATIO * (1 - RATIO)} AS DOUBLE) * (pages - 1)
 ),
-marked AS (SELECT l.*, b.own IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.own = b.own)
-SELECT doc_id, source, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text,
-       count(*) FILTER (WHERE own <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed
-FROM marked GROUP BY doc_id, source
+marked AS (SELECT l.*, b.own IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.own = b.own),
+cut AS (
+  SELECT page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text,
+         count(*) FILTER (WHERE own <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed FROM marked GROUP BY page
+)
+SELECT p.doc_id, p.source, CASE WHEN p.text IS NOT NULL THEN c.text END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed
+FROM pages p LEFT JOIN cut c ON p.page = c.page
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,7 +13,7 @@ from marginalia.llm import quality as Q
 from marginalia.llm import sentencepieces as S
 from marginalia.llm.html_text import extract_text, main_text
 from marginalia.llm.langid import language_id
-from marginalia.llm.line_dedup import line_dedup
+from marginalia.llm.line_dedup import RATIO, Z, line_dedup
 from marginalia.llm.url_templates import url_verdicts
 
 # ---- op1
@@ -242,7 +242,7 @@ def test_language_of_nothing(spark):
 def test_lines(spark):
     rows = [(i, "h" if i < 10 else None, f"own {i}\n\n  menu \t\n{'twice' if i < 2 else 'x' + str(i)}\n") for i in range(20)] + [(20, "h", None), (21, "h", "")]
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, source string, text string, n int")
-    got = {r.doc_id: r for r in line_dedup(docs, ratio=0.5, min_pages=3, counts=True).collect()}
+    got = {r.doc_id: r for r in line_dedup(docs, ratio=0.3, counts=True).collect()}
     assert got[0].text == "own 0\n\ntwice\n" and got[15].text == "own 15\n\nx15\n" and got[20].text is None and got[21].text == ""
     assert (got[0].n_lines, got[0].n_removed, got[20].n_lines) == (3, 1, 0)
     assert line_dedup(docs).columns == docs.columns and line_dedup(docs.where("false")).count() == 0
@@ -253,6 +253,32 @@ def test_line_dedup_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_lines_of_small_and_odd_hosts(spark):
+    """Hosts of few pages, copies, ties, nulls, long texts, clashing columns: against the definition, host by host."""
+    rows = [(f"four{i}", "four", f"menu\nown {i}") for i in range(4)] + [(f"copy{i}", "ten", "same text\nin two") for i in range(2)] + [(f"ten{i}", "ten", f"own {i}") for i in range(8)]
+    rows += [("one", "lone", "all\nalone"), ("long1", "big", "\n".join(f"l{k}" for k in range(30_000)) + "\nfoot"), ("wide", "big", "x" * 1_000_000 + "\n foot\t")] + [(f"big{i}", "big", "foot\nfoot") for i in range(3)]
+    rows += [("n1", None, "null host"), ("n2", None, "null host"), ("n3", None, "null host"), (None, "four", "menu"), ("e", "four", None), ("e", "four", "")]
+    docs = spark.createDataFrame([(*r, "gone", 7) for r in rows], "doc_id string, source string, text string, n_lines string, any int")
+    pages = Counter(s for _, s, _ in rows)
+    held = Counter((s, x) for _, s, t in rows if t is not None for x in {x.strip(" \t\r") for x in t.split("\n")} if x)
+
+    def bad(s, x):
+        over = held[s, x] - 1 - RATIO * (pages[s] - 1)
+        return over > 0 and over * over > Z * Z * RATIO * (1 - RATIO) * (pages[s] - 1)
+
+    def want(s, t):
+        lines = t.split("\n")
+        left = [x for x in lines if not (x.strip(" \t\r") and bad(s, x.strip(" \t\r")))]
+        return "\n".join(left), sum(bool(x.strip(" \t\r")) for x in lines), len(lines) - len(left)
+
+    got = line_dedup(docs, counts=True)
+    assert got.columns == ["doc_id", "source", "text", "any", "n_lines", "n_removed"]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.source, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=key) == sorted(((i, s, *(want(s, t) if t is not None else (None, 0, 0))) for i, s, t in rows), key=key)
+    by = {r.doc_id: r.text for r in got.collect()}
+    assert (by["four1"], by["one"], by["copy0"], by["wide"], by["n1"]) == ("own 1", "all\nalone", "same text\nin two", "x" * 1_000_000, "")
+
+
 # ---- op10
 
 
