@@ -1,13 +1,18 @@
 """Quality rules with adaptive thresholds per language and source.
 
 Fixed base rules reject a text outright. The others compare four per-mille figures of a document with fences that come
-from its own (language, source) group: quartiles of a mergeable quantile sketch, widened by a multiple of the quartile
-range. The sketch of a figure counts values in buckets of a fixed relative width (1/64), so sketches merge by adding
-counts: sources merge into languages and these into one for all. Groups under ``min_docs`` documents take the fences of
-the merged sketch above them.
+from its own (language, source) group: two quantiles of a mergeable quantile sketch, and a multiple of their distance
+beyond the upper (and for word lengths the lower) one. The sketch of a figure counts values in buckets of a fixed relative
+width (1/64), so sketches merge by adding counts: sources merge into languages and these into one for all. Groups under
+``min_docs`` documents take the fences of the merged sketch above them: below some 200 values a 99th percentile is one of
+the two largest values and says nothing.
+
+Word lengths and symbols are judged by their quartiles, which no minority of junk can move. Repeated lines and words are
+rare in most texts, so that their quartiles coincide at 0; their fences come from the median and the 99th percentile.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source is a group of its own;
-repeated rows count each; an empty table gives an empty result; further columns are passed through.
+repeated rows count each; a value equal to a fence passes; very long texts are measured
+whole; an empty table gives an empty result; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -24,11 +29,10 @@ from marginalia.llm.common import materialise, plain
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
-#: Quartile ranges beyond the quartiles at which a fence stands, documents that a group needs for its own fences, and
-#: the least quartile range (per mille) of each figure.
-FENCE = 4
+#: Per figure: lower and upper quantile (per cent), multiple of their distance, and the least distance (per mille).
+FENCES = {"word_len": (25, 75, 6, 25), "symbols": (25, 75, 6, 5), "dup_lines": (50, 99, 2, 5), "repeats": (50, 99, 2, 5)}
+#: Documents that a group needs for its own fences.
 MIN_DOCS = 200
-LEAST_RANGE = {"word_len": 200, "symbols": 100, "dup_lines": 100, "repeats": 110}
 #: Figures that are also rejected when too low.
 TWO_SIDED = ("word_len",)
 
@@ -69,7 +73,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
         schema = schema.add(f"{_P}{c}", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             at = batch.schema.get_field_index(f"{_P}text")
             rows = [measure(x) for x in batch.column(at).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
@@ -107,43 +111,46 @@ def sketches(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each sketch: the first bucket at which a quarter (three quarters) of the values is reached."""
+def _of_figure(i: int) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in FENCES.items() for x in (k, v[i])])[F.col("figure")]
+
+
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Both quantiles of each sketch: the first buckets at which so many per cent of the values are reached."""
     by = Window.partitionBy(*keys, "figure")
     cum = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
     return cum.groupBy(*keys, "figure").agg(
         F.max("all").alias("docs"),
-        F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
+        F.min(F.when(100 * F.col("upto") >= _of_figure(0) * F.col("all"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(100 * F.col("upto") >= _of_figure(1) * F.col("all"), F.col("bucket"))).alias("q2"),
     )
 
 
-def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
+def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per (lang, source): lo_ and hi_ of each figure."""
     by_lang = sketch.groupBy("lang", "figure", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("figure", "bucket").agg(F.sum("n").alias("n"))
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.struct("docs", "q1", "q3").alias("up"))
-    top = _quartiles(overall, []).select(F.col("figure").alias("g"), F.struct("docs", "q1", "q3").alias("top"))
-    q = F.when(F.col("docs") >= min_docs, F.struct("docs", "q1", "q3")).when(F.col("up.docs") >= min_docs, F.col("up")).otherwise(F.col("top"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_RANGE.items() for x in kv])
+    own = _quantiles(sketch, ["lang", "source"])
+    lang = _quantiles(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.struct("docs", "q1", "q2").alias("up"))
+    top = _quantiles(overall, []).select(F.col("figure").alias("g"), F.struct("docs", "q1", "q2").alias("top"))
+    q = F.when(F.col("docs") >= min_docs, F.struct("docs", "q1", "q2")).when(F.col("up.docs") >= min_docs, F.col("up")).otherwise(F.col("top"))
     chosen = (
         own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("figure") == F.col("f")))
         .join(top, F.col("figure") == F.col("g"))
         .select("lang", "source", "figure", q.alias("q"))
-        .withColumn("range", F.greatest(F.col("q.q3") - F.col("q.q1"), least[F.col("figure")].cast("long")))
+        .withColumn("beyond", _of_figure(2) * F.greatest(F.col("q.q2") - F.col("q.q1"), _of_figure(3).cast("long")))
     )
     value = lambda k, c: F.max(F.when(F.col("figure") == k, c))
     return chosen.groupBy("lang", "source").agg(
-        *[value(k, F.col("q.q3") + fence * F.col("range")).alias(f"{_P}hi_{k}") for k in LEAST_RANGE],
-        *[value(k, F.col("q.q1") - fence * F.col("range")).alias(f"{_P}lo_{k}") for k in TWO_SIDED],
-    ).select(F.col("lang").alias(f"{_P}lang"), F.col("source").alias(f"{_P}source"), *[f"{_P}hi_{k}" for k in LEAST_RANGE], *[f"{_P}lo_{k}" for k in TWO_SIDED])
+        *[value(k, F.col("q.q2") + F.col("beyond")).alias(f"{_P}hi_{k}") for k in FENCES],
+        *[value(k, F.col("q.q1") - F.col("beyond")).alias(f"{_P}lo_{k}") for k in TWO_SIDED],
+    ).select(F.col("lang").alias(f"{_P}lang"), F.col("source").alias(f"{_P}source"), *[f"{_P}hi_{k}" for k in FENCES], *[f"{_P}lo_{k}" for k in TWO_SIDED])
 
 
 def _judged(counted: DataFrame, limits: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     of = figures()
     ok = F.lit(True)
-    for k in LEAST_RANGE:
+    for k in FENCES:
         ok = ok & F.coalesce(of[k] <= F.col(f"{_P}hi_{k}"), F.lit(True))
     for k in TWO_SIDED:
         ok = ok & F.coalesce(of[k] >= F.col(f"{_P}lo_{k}"), F.lit(True))
@@ -165,9 +172,13 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return _judged(with_counts(docs, text_col), limits, lang_col, source_col).where(f"{_P}kept").select(*[plain(c) for c in docs.columns])
 
 
-def _quartile_sql(keys: str) -> str:
+def _case(column: str, i: int) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in FENCES.items()) + " END"
+
+
+def _quantile_sql(keys: str) -> str:
     on = (keys + ", ") if keys else ""
-    return f"""SELECT {on}figure, max(n_all) AS docs, min(bucket) FILTER (WHERE 4 * upto >= n_all) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * n_all) AS q3
+    return f"""SELECT {on}figure, max(n_all) AS docs, min(bucket) FILTER (WHERE 100 * upto >= {_case('figure', 0)} * n_all) AS q1, min(bucket) FILTER (WHERE 100 * upto >= {_case('figure', 1)} * n_all) AS q2
   FROM (SELECT {on}figure, bucket, sum(n) OVER (PARTITION BY {on}figure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}figure) AS n_all
         FROM (SELECT {on}figure, bucket, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
 
@@ -176,8 +187,6 @@ _FIGURES = ", ".join(f"{{'figure': '{k}', 'v': {v}}}" for k, v in {
     "word_len": "1000 * word_chars // greatest(n_words, 1)", "symbols": "1000 * n_symbols // greatest(n_words, 1)",
     "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
 }.items())
-_RANGES = "CASE c.figure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_RANGE.items()) + " END"
-
 #: The same in SQL.
 SQL = rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -191,13 +200,14 @@ counted AS (
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
 figures AS (SELECT doc_id, lang, source, x.figure AS figure, x.v AS v, greatest(length(bin(x.v)) - 7, 0) AS s FROM (SELECT doc_id, lang, source, unnest([{_FIGURES}]) AS x FROM judged WHERE NOT base_failed)),
 sketch AS (SELECT *, (v >> s) << s AS bucket FROM figures),
-own AS ({_quartile_sql("lang, source")}), by_lang AS ({_quartile_sql("lang")}), overall AS ({_quartile_sql("")}),
+own AS ({_quantile_sql("lang, source")}), by_lang AS ({_quantile_sql("lang")}), overall AS ({_quantile_sql("")}),
 limits AS (
-  SELECT c.lang, c.source, c.figure, CASE WHEN c.docs >= {MIN_DOCS} THEN c.q1 WHEN b.docs >= {MIN_DOCS} THEN b.q1 ELSE o.q1 END AS q1,
-         CASE WHEN c.docs >= {MIN_DOCS} THEN c.q3 WHEN b.docs >= {MIN_DOCS} THEN b.q3 ELSE o.q3 END AS q3, {_RANGES} AS least_range
-  FROM own c JOIN by_lang b ON c.lang IS NOT DISTINCT FROM b.lang AND c.figure = b.figure JOIN overall o ON o.figure = c.figure),
+  SELECT lang, source, figure, q1, q2, {_case('figure', 2)} * greatest(q2 - q1, {_case('figure', 3)}) AS beyond FROM (
+    SELECT c.lang, c.source, c.figure, CASE WHEN c.docs >= {MIN_DOCS} THEN c.q1 WHEN b.docs >= {MIN_DOCS} THEN b.q1 ELSE o.q1 END AS q1,
+           CASE WHEN c.docs >= {MIN_DOCS} THEN c.q2 WHEN b.docs >= {MIN_DOCS} THEN b.q2 ELSE o.q2 END AS q2
+    FROM own c JOIN by_lang b ON c.lang IS NOT DISTINCT FROM b.lang AND c.figure = b.figure JOIN overall o ON o.figure = c.figure)),
 verdicts AS (
-  SELECT f.doc_id, bool_and(f.v <= l.q3 + {FENCE} * greatest(l.q3 - l.q1, l.least_range) AND (f.figure <> 'word_len' OR f.v >= l.q1 - {FENCE} * greatest(l.q3 - l.q1, l.least_range))) AS ok
+  SELECT f.doc_id, bool_and(f.v <= l.q2 + l.beyond AND (f.figure <> 'word_len' OR f.v >= l.q1 - l.beyond)) AS ok
   FROM figures f JOIN limits l ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source AND f.figure = l.figure GROUP BY f.doc_id)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(v.ok, true) AS kept
 FROM judged j LEFT JOIN verdicts v ON j.doc_id = v.doc_id

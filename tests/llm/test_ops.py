@@ -176,7 +176,7 @@ def reference_counts(text):
 def quantile(values, q):
     bucket = lambda v: v >> (s := max(v.bit_length() - 7, 0)) << s
     values = sorted(map(bucket, values))
-    return values[-(-len(values) * q // 4) - 1]
+    return values[-(-len(values) * q // 100) - 1]
 
 
 def reference_verdicts(docs):
@@ -199,9 +199,10 @@ def reference_verdicts(docs):
             group = group if len(group) >= Q.MIN_DOCS else passed
             for k, v in per_mille(i).items():
                 values = [per_mille(d[0])[k] for d in group]
-                q1, q3 = quantile(values, 1), quantile(values, 3)
-                width = Q.FENCE * max(q3 - q1, Q.LEAST_RANGE[k])
-                ok = ok and v <= q3 + width and (k not in Q.TWO_SIDED or v >= q1 - width)
+                low, high, times, least = Q.FENCES[k]
+                q1, q2 = quantile(values, low), quantile(values, high)
+                beyond = times * max(q2 - q1, least)
+                ok = ok and v <= q2 + beyond and (k not in Q.TWO_SIDED or v >= q1 - beyond)
         out[i] = counts[i], failed[i], ok
     return out
 
@@ -218,6 +219,23 @@ def test_quality(spark, sf_dir):
     assert Q.quality_verdicts(table.where("false")).count() == 0
 
 
+def test_fences_follow_the_group(spark):
+    """One text, kept where its group is like it and rejected where it isn't; very long texts; labels of the given tables."""
+    import random as r
+
+    rnd = r.Random(3)
+    text = lambda marks: " ".join("word" + chr(97 + rnd.randrange(26)) + chr(97 + rnd.randrange(26)) + ("#" if k < marks else "") for k in range(100))
+    rows = [(i, text(rnd.randrange(20, 30)), "en", "code") for i in range(300)] + [(1000 + i, text(rnd.randrange(2)), "en", "prose") for i in range(300)]
+    same = text(25)
+    rows += [(5000, same, "en", "code"), (5001, same, "en", "prose"), (5002, same, "en", "few"), (5003, " ".join(text(0) for _ in range(1000)), "en", "prose")]
+    kept = {x.doc_id: x.kept for x in Q.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[5000] and not kept[5001] and all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
+    at = "/root/testdata/sf0.1"
+    judged = Q.quality_verdicts(spark.read.parquet(f"{at}/documents.parquet")).where("NOT base_failed").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    right = {(x.quality, x.kept): x["count"] for x in judged.groupBy("quality", "kept").count().collect()}
+    assert right.get((1, False), 0) <= 0.001 * right[1, True] and right.get((0, True), 0) <= 0.02 * right[0, False]
+
+
 # ---- op8
 
 
