@@ -1,15 +1,26 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut into blocks at block-level tags. Subtrees that name themselves as something else than the article (by tag,
-role, class or id: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) go first. For
-every root-to-leaf tag path of the rest, text length and punctuation are summed over its blocks; both ratios (per block of
-the path) are smoothed over neighbouring paths in page order, fused by multiplication and thresholded at their standard
-deviation. Paths above the threshold select the content nodes: the article or main element around them, or else their
-parent; every block under these is main text. Where a page has text in article or main elements, only their paths compete.
+A page is cut into blocks at block-level tags, each at the end of a root-to-leaf tag path.
+
+1. Per path, the length of its text outside links and its punctuation are summed over its blocks. Both ratios (per block of
+   the path) are smoothed over neighbouring paths in page order and fused: length times (1 + punctuation). Paths whose fused
+   ratio reaches the standard deviation of all are content paths; their text is the page's content weight.
+2. This is done twice. Elements that name themselves as something else than the article (by tag, role, class or id: menus,
+   sidebars, adverts, comments and so on) and yet hold SHARE of the first content weight, or half of that with a main
+   heading, have misleading names, which are ignored (but for navigation, footer, aside and dialog elements). The second time, paths under the other names count a tenth and paths
+   in article or main elements twice.
+3. The content node is the deepest element that holds SHARE of the weight, or the article or main element around it, or
+   where there is none an outer element that adds a heading and little else.
+4. Every block under the content node is main text, but for inner elements with such names, for what page headers have
+   beside headings, and, unless the node is an article or main element, for blocks off the content paths that are mostly
+   links. Where only the whole page holds the content, blocks off the content paths are main text only as headings.
+
+Scripts, styles, form controls and hidden elements are never text. All steps are linear in the page.
 
 Defined cases: null or empty html gives an empty text; html without tags is one block; broken or unclosed tags are closed
-as browsers do for paragraphs, list items and table cells, and a tag that the end of the page cuts off is markup; repeated
-rows are extracted each; an empty table gives an empty result; further columns are passed through.
+as browsers do for paragraphs, list items and table cells, and a tag that the end of the page cuts off is markup; very long
+and very deep pages are handled whole; of elements that hold the same weight the deepest is taken; repeated rows are
+extracted each; an empty table gives an empty result; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -25,9 +36,14 @@ from pyspark.sql import DataFrame
 from marginalia.llm.common import plain
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Share of the content weight that the content node holds, and what a name takes from a path and an article element gives it.
+SHARE, NAME_FACTOR, ARTICLE_FACTOR = 0.8, 0.1, 2.0
 #: Elements whose content is not text of the page; the first ones end only at their own end tag.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu object canvas audio video search datalist map fieldset label input".split())
+CONTROLS = frozenset("button select object canvas audio video datalist map label input".split())
+#: Elements that are named by their tag; the first ones are never the article.
+SURE = frozenset("nav footer aside dialog menu".split())
+NAMED = SURE | {"form", "search", "fieldset"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
@@ -51,99 +67,130 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("tag", "label", "dropped", "header")
+    __slots__ = ("tag", "parent", "path", "gone", "named", "header", "article")
+
+    def __init__(self, tag: str, parent: int, path: int, gone: bool, named: bool, header: bool, article: int) -> None:
+        self.tag, self.parent, self.path, self.gone, self.named, self.header, self.article = tag, parent, path, gone, named, header, article
 
-    def __init__(self, tag: str, label: str, dropped: bool, header: bool) -> None:
-        self.tag, self.label, self.dropped, self.header = tag, label, dropped, header
 
+class _Block:
+    __slots__ = ("node", "text", "links")
 
-def _open(tag: str, raw: str) -> _Node:
+    def __init__(self, node: int, text: str, links: int) -> None:
+        self.node, self.text, self.links = node, text, links
+
+
+def _traits(tag: str, raw: str) -> tuple[str, bool, bool, bool]:
+    """Of an opening tag: its label in paths; whether it is never text, names itself as something else, is a header."""
     if not raw.strip(" \t\r\n/"):
-        return _Node(tag, tag, tag in DROPPED, tag == "header")
+        return tag, tag in CONTROLS, tag in NAMED, tag == "header"
     attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
     names = [w.lower() for k in ("class", "id") for w in _WORDS.findall(attributes.get(k, ""))]
     label = tag + "." + attributes["class"].split()[0] if attributes.get("class", "").split() else tag
-    if tag in ("html", "body", "main", "article"):
-        return _Node(tag, label, False, False)
-    own = not {"with", "has", "no"} & set(names)
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I)
-    dropped = tag in DROPPED or bool(hidden) or attributes.get("role", "").lower() in ROLES or own and not NAMES.isdisjoint(names)
-    return _Node(tag, label, dropped, tag == "header" or own and "header" in names)
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """The page's text blocks outside dropped subtrees, in page order: (path of labels, text)."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[_Node] = []
-    parts: list[str] = []
-
-    def end_block() -> None:
-        if parts:
-            text = " ".join(_html.unescape("".join(parts)).split())
-            parts.clear()
-            if text and not any(n.dropped for n in stack):
-                inside = next((i for i, n in enumerate(stack) if n.header), None)
-                if inside is None or (any(n.tag in ("article", "main") for n in stack[:inside]) and any(n.tag in HEADINGS for n in stack[inside:])):
-                    out.append((tuple(n.label for n in stack), text))
-
-    def close(tags: set[str], stops: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                last = i
-                while last and stack[last - 1].tag in tags:
-                    last -= 1
-                del stack[last:]
-                return
-            if stack[i].tag in stops:
-                return
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            parts.append(page[at:])
-            break
-        parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in BLOCK or tag in DROPPED:
+    if tag in ("html", "body"):
+        return label, False, False, False
+    own = not {"with", "has", "no"} & set(names)
+    named = tag in NAMED or attributes.get("role", "").lower() in ROLES or own and not NAMES.isdisjoint(names)
+    return label, tag in CONTROLS or bool(hidden), named, tag == "header" or own and "header" in names
+
+
+class Page:
+    """A page's elements (the first stands for the whole page) and text blocks, in page order."""
+
+    def __init__(self, page: str) -> None:
+        self.nodes = [_Node("", 0, 0, False, False, False, 0)]
+        self.blocks: list[_Block] = []
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        nodes, stack = self.nodes, [0]
+        paths: dict[tuple[int, str], int] = {}
+        parts: list[str] = []
+        in_link, links = False, 0
+
+        def end_block() -> None:
+            nonlocal links
+            if parts:
+                text = " ".join(_html.unescape("".join(parts)).split())
+                parts.clear()
+                if text and not nodes[stack[-1]].gone:
+                    self.blocks.append(_Block(stack[-1], text, min(links, len(text))))
+            links = 0
+
+        def close(tags: set[str], stops: set[str]) -> None:
+            for i in range(len(stack) - 1, 0, -1):
+                tag = nodes[stack[i]].tag
+                if tag in tags:
+                    last = i
+                    while last > 1 and nodes[stack[last - 1]].tag in tags:
+                        last -= 1
+                    del stack[last:]
+                    return
+                if tag in stops:
+                    return
+
+        def enter(tag: str, raw: str) -> None:
+            label, gone, named, header = _traits(tag, raw)
+            up = nodes[stack[-1]]
+            path = paths.setdefault((up.path, label), len(paths) + 1)
+            article = len(nodes) if tag in ("article", "main") and not (tag == "main" and up.article) else up.article
+            nodes.append(_Node(tag, stack[-1], path, up.gone or gone, named, header, article))
+            stack.append(len(nodes) - 1)
+
+        at, n = 0, len(page)
+        while at < n:
+            m = _TOKEN.search(page, at)
+            text = page[at : m.start() if m else n]
+            if text:
+                parts.append(text)
+                if in_link:
+                    links += len(text)
+            if not m:
+                break
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[1]:
+                if tag == "a":
+                    in_link = False
+                elif tag in BLOCK or tag in CONTROLS:
+                    end_block()
+                    for i in range(len(stack) - 1, 0, -1):
+                        if nodes[stack[i]].tag == tag:
+                            del stack[i:]
+                            break
+                continue
+            if tag in RAW:
+                if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+                    end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                    gone = page.find(">", end.end() - 1) if end else -1
+                    at = gone + 1 if gone >= 0 else n
+                continue
+            if tag == "br":
+                parts.append("\n")
+            elif tag in BLOCK:
                 end_block()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-            continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                gone = page.find(">", end.end() - 1) if end else -1
-                at = gone + 1 if gone >= 0 else n
-            continue
-        if tag == "br":
-            parts.append("\n")
-        elif tag in BLOCK:
-            end_block()
-            if tag not in ("html", "body", "head", "option"):
-                close({"p"}, {"button", "td", "th", "table", "caption", "object"})
-            if tag in CLOSES:
-                close(*CLOSES[tag])
-            if tag not in VOID and not (tag in ("html", "body") and any(x.tag == tag for x in stack)):
-                if tag == "body":
-                    stack[:] = [x for x in stack if x.tag != "head"]
-                stack.append(_open(tag, m[3]))
-        elif tag in DROPPED and tag not in VOID:
-            stack.append(_open(tag, m[3]))
-        elif m[3] and tag not in VOID and tag in ("span", "a", "ins") and (node := _open(tag, m[3])).dropped:
-            # an inline element that names itself as an advert or the like: skip to its end
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-    end_block()
-    return out
+                if tag not in ("html", "body", "head", "option"):
+                    close({"p"}, {"button", "td", "th", "table", "caption", "object"})
+                if tag in CLOSES:
+                    close(*CLOSES[tag])
+                if tag not in VOID and not (tag in ("html", "body") and any(nodes[x].tag == tag for x in stack)):
+                    if tag == "body":
+                        stack[:] = [x for x in stack if nodes[x].tag != "head"]
+                    enter(tag, m[3])
+            elif tag in CONTROLS and tag not in VOID:
+                enter(tag, m[3])
+            elif m[3] and tag in ("span", "a", "ins") and (traits := _traits(tag, m[3])) and (traits[1] or traits[2]):
+                # an inline element that names itself as an advert or the like, or is hidden: skip to its end
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+            if tag == "a":
+                in_link = True
+        end_block()
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -152,40 +199,106 @@ def _smoothed(values: list[float]) -> list[float]:
     return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
 
 
-def content_paths(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
-    """The tag paths whose fused, smoothed ratios reach the standard deviation of all."""
-    length: dict[tuple[str, ...], int] = {}
-    marks: dict[tuple[str, ...], int] = {}
-    nodes: dict[tuple[str, ...], int] = {}
-    for path, text in found:
-        length[path] = length.get(path, 0) + len(text)
-        marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
-        nodes[path] = nodes.get(path, 0) + 1
+def content_paths(page: Page, named: list[bool]) -> dict[int, float]:
+    """The tag paths whose fused, smoothed ratios reach the standard deviation of all, with their factors."""
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
+    factor: dict[int, float] = {}
+    for b in page.blocks:
+        node = page.nodes[b.node]
+        path = node.path
+        length[path] = length.get(path, 0) + len(b.text) - b.links
+        marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(b.text))
+        count[path] = count.get(path, 0) + 1
+        factor[path] = (NAME_FACTOR if named[b.node] else 1.0) * (ARTICLE_FACTOR if node.article else 1.0)
     paths = list(length)
-    text_ratio = _smoothed([length[p] / nodes[p] for p in paths])
-    mark_ratio = _smoothed([marks[p] / nodes[p] for p in paths])
-    # the smoothed ratios of a path, times how much of the page's text it holds
-    total = sum(length.values())
-    fused = [t * (1 + m) * length[p] / total for p, t, m in zip(paths, text_ratio, mark_ratio)]
+    text_ratio = _smoothed([length[p] / count[p] for p in paths])
+    mark_ratio = _smoothed([marks[p] / count[p] for p in paths])
+    fused = [t * (1 + m) * factor[p] for p, t, m in zip(paths, text_ratio, mark_ratio)]
     mean = sum(fused) / len(fused)
     threshold = min(math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), max(fused))
-    return {p for p, x in zip(paths, fused) if x >= threshold}
+    return {p: factor[p] for p, x in zip(paths, fused) if x >= threshold}
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = blocks(page)
-    if not found:
+def _weights(page: Page, good: dict[int, float]) -> list[float]:
+    """The content weight that each element holds."""
+    weight = [0.0] * len(page.nodes)
+    for b in page.blocks:
+        weight[b.node] += len(b.text) * good.get(page.nodes[b.node].path, 0.0)
+    for i in range(len(page.nodes) - 1, 0, -1):
+        weight[page.nodes[i].parent] += weight[i]
+    return weight
+
+
+def _named(page: Page) -> list[bool]:
+    """Whether an element or one around it names itself as something else, and its name isn't misleading."""
+    nodes = page.nodes
+    weight = _weights(page, content_paths(page, [False] * len(nodes)))
+    titled = [n.tag in ("h1", "h2") for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        titled[nodes[i].parent] |= titled[i]
+    out = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        n.named = n.named and (n.tag in SURE or weight[i] < (SHARE / 2 if titled[i] else SHARE) * weight[0])
+        out[i] = n.named or bool(i and out[n.parent])
+    return out
+
+
+def _content_node(page: Page, weight: list[float], named: list[bool]) -> int:
+    nodes, root = page.nodes, 0
+    for i, n in enumerate(nodes):  # elements come after those around them, so the last such one in a branch is the deepest
+        if n.parent == root and i and weight[i] >= SHARE * weight[0]:
+            root = i
+    if nodes[root].article:
+        return nodes[root].article
+    size, heads = [0] * len(nodes), [0] * len(nodes)
+    for b in page.blocks:
+        if not named[b.node]:
+            size[b.node] += len(b.text)
+            heads[b.node] += nodes[b.node].tag in HEADINGS
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+        heads[nodes[i].parent] += heads[i]
+    while root and nodes[root].tag in ("p", "li", "td", "pre", "blockquote", *HEADINGS):
+        root = nodes[root].parent
+    up = nodes[root].parent
+    while root and nodes[up].tag not in ("", "html", "body"):
+        if heads[up] > heads[root] and 4 * (size[up] - size[root]) <= size[root]:
+            root = up
+        up = nodes[up].parent
+    return root
+
+
+def main_text(html: str | None) -> str:
+    page = Page(html or "")
+    if not page.blocks:
         return ""
-    # an article or main element, where a page has one with text, holds the content nodes
-    named = [b for b in found if any(label.split(".")[0] in ("article", "main") for label in b[0])]
-    roots = set()
-    for path in content_paths(named or found):
-        inner = [i for i, label in enumerate(path) if label.split(".")[0] in ("article", "main")]
-        articles = [i for i in inner if path[i].split(".")[0] == "article"]
-        roots.add(path[: (articles or inner)[0] + 1] if inner else path[:-1] or path)
-    return "\n\n".join(text for path, text in found if any(path[: len(r)] == r for r in roots))
+    nodes, named = page.nodes, _named(page)
+    good = content_paths(page, named)
+    weight = _weights(page, good)
+    root = _content_node(page, weight, named)
+    inside, gone, header, heading = ([False] * len(nodes) for _ in range(4))
+    inside[root] = True
+    for i, n in enumerate(nodes):
+        if i:
+            inside[i] = inside[i] or inside[n.parent]
+            if inside[i] and i != root:
+                gone[i] = gone[n.parent] or n.named
+                header[i] = header[n.parent] or n.header and 2 * weight[i] < weight[root]
+            heading[i] = heading[n.parent] or n.tag in HEADINGS
+    whole, article = nodes[root].tag in ("", "html", "body"), nodes[root].tag in ("article", "main")
+    kept: list[str] = []
+    after = False  # whether the block after this one is kept
+    for b in reversed(page.blocks):
+        n = b.node
+        keep = inside[n] and not gone[n] and (heading[n] or not header[n])
+        if keep and nodes[n].path not in good and not article:
+            keep = 2 * b.links <= len(b.text) and (not whole or heading[n] and after)
+        if keep:
+            kept.append(b.text)
+        after = keep
+    return "\n\n".join(reversed(kept))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -197,8 +310,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                batch = whole.slice(s, 1000)
+            for s in range(0, whole.num_rows, 200):
+                batch = whole.slice(s, 200)
                 texts = [main_text(x) for x in batch.column(at).to_pylist()]
                 columns = [batch.column(i) for i in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, text_col, length_col])

@@ -4,11 +4,13 @@ import json
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate as D
+from marginalia.llm import html_text as H
 from marginalia.llm import quality as Q
 from marginalia.llm import sentencepieces as S
 from marginalia.llm.html_text import extract_text, main_text
@@ -95,7 +97,7 @@ def test_decontamination_recall():
         ("<body><div class='nav-bar'>x</div><main><p>One, two.<p>Three</main><div id=comments><p>Nice text, really nice.</p></div>", "One, two.\n\nThree"),
         ("<article><header><h1>T</h1><p>by me</p></header><section class=comments>c</section><p>Text here.</p><aside>s</aside></article><footer>f</footer>", "T\n\nText here."),
         ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes<!-- <p>no</p> --></p><p cut", "yes"),
-        ("<div class=box><p>Long advert, not named, with much text. And more, and more.</p></div><article><p>Short.</article>", "Short."),
+        ("<div class=box><p>Long advert, not named, with much text. And more, and more.</p></div><article><p>Short.</article>", "Long advert, not named, with much text. And more, and more."),
         ("<div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></div>", "a\n\nb\n\nc\n\nd"),
     ],
 )
@@ -109,6 +111,77 @@ def test_pages(spark):
     assert extract_text(pages.where("false")).count() == 0
 
 
+class Articles(HTMLParser):
+    """An independent reading of the given pages: the paragraphs and headings inside their article element."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.deep, self.blocks, self.now = 0, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1"):
+            self.flush() if self.deep else self.now.clear()
+        self.deep += tag == "article"
+        if tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1") and self.deep:
+            self.flush()
+        self.deep -= tag == "article"
+
+    def handle_data(self, data):
+        if self.deep:
+            self.now.append(data)
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for r in pages.collect():
+        reader = Articles()
+        reader.feed(r.html)
+        assert got[r.page_id] == "\n\n".join(reader.blocks), r.page_id
+
+
+def random_page(rnd):
+    """A page without article or main elements, in nested boxes with meaningless or misleading names, and its main text."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    prose = lambda n: " ".join(word() + ("," if rnd.random() < 0.1 else "." if rnd.random() < 0.1 else "") for _ in range(n)) + "."
+    box = lambda inner, name: f"<div class='{name}'>{inner}</div>"
+    title, body = word(), [prose(rnd.randint(30, 80)) for _ in range(rnd.randint(3, 8))]
+    main = box(f"<h2>{title}</h2>" + box("".join(f"<p>{x}</p>" for x in body), word()), rnd.choice(["q1", "post comment-enabled", "social-story", "widget wide", "e7"]))
+    for _ in range(rnd.randint(0, 3)):
+        main = box(main, "w" + word())
+    menu = box("".join(f"<ul><li><a href='{word()}'>{word()} {word()}</a></ul>" for _ in range(rnd.randint(3, 9))), "k1")
+    notes = "".join(box(prose(rnd.randint(3, 8)), "z" + word()) for _ in range(rnd.randint(1, 3)))
+    comments = box("".join(f"<p>{prose(20)}</p>" for _ in range(rnd.randint(1, 3))), "comments")
+    page = menu + main + notes + comments
+    return f"<html><body>{rnd.choice(['<form id=f>' + page + '</form>', page])}</body></html>", "\n\n".join([title, *body])
+
+
+def test_ratios_decide(monkeypatch):
+    rnd = random.Random(8)
+    pages = [random_page(rnd) for _ in range(200)]
+    assert sum(main_text(page) == want for page, want in pages) >= 196
+    monkeypatch.setattr(H, "content_paths", lambda page, named: {page.nodes[b.node].path: 1.0 for b in page.blocks})
+    assert sum(main_text(page) == want for page, want in pages) < 160  # without the ratios
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 30_000 + "<p>Some text, deep inside." + "</div>" * 30_000
+    assert main_text(deep) == "Some text, deep inside."
+    paragraphs = [f"Paragraph {i}, of a very long page." for i in range(20_000)]
+    assert main_text("<div>" + "".join(f"<p>{x}" for x in paragraphs) + "</div>") == "\n\n".join(paragraphs)
+    assert main_text("<p>" + "x" * 2_000_000) == "x" * 2_000_000
+    assert main_text("<body><div><p>One text, here.</p></div><div><p>One text, here.</p></div>") == "One text, here.\n\nOne text, here."  # a tie: both
+
+
 # ---- op4
 
 ODD = ["", " ", "  a  b ", " \n x\n\n y  \n", "▁ a▁b ▁", "日本語 emoji😀\t\x00 x", " " * 30 + "x" + " " * 9, "<s> </s> <unk> <0x41>", "a" * 300, "İstanbul ﬁ x²", "\n" * 5]
