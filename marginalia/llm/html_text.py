@@ -28,6 +28,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,6 +109,11 @@ class Page:
         paths: dict[tuple[int, str], int] = {}
         parts: list[str] = []
         in_link, links = False, 0
+        opened: Counter[str] = Counter()
+
+        def leave(i: int) -> None:
+            opened.subtract(nodes[x].tag for x in stack[i:])
+            del stack[i:]
 
         def end_block() -> None:
             nonlocal links
@@ -119,13 +125,15 @@ class Page:
             links = 0
 
         def close(tags: set[str], stops: set[str]) -> None:
+            if not any(opened[t] for t in tags):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 tag = nodes[stack[i]].tag
                 if tag in tags:
                     last = i
                     while last > 1 and nodes[stack[last - 1]].tag in tags:
                         last -= 1
-                    del stack[last:]
+                    leave(last)
                     return
                 if tag in stops:
                     return
@@ -137,6 +145,7 @@ class Page:
             article = len(nodes) if tag in ("article", "main") and not (tag == "main" and up.article) else up.article
             nodes.append(_Node(tag, stack[-1], path, up.gone or gone, named, header, article))
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
 
         at, n = 0, len(page)
         while at < n:
@@ -158,10 +167,8 @@ class Page:
                     in_link = False
                 elif tag in BLOCK or tag in CONTROLS:
                     end_block()
-                    for i in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[i]].tag == tag:
-                            del stack[i:]
-                            break
+                    if opened[tag]:
+                        leave(next(i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag))
                 continue
             if tag in RAW:
                 if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
@@ -177,9 +184,9 @@ class Page:
                     close({"p"}, {"button", "td", "th", "table", "caption", "object"})
                 if tag in CLOSES:
                     close(*CLOSES[tag])
-                if tag not in VOID and not (tag in ("html", "body") and any(nodes[x].tag == tag for x in stack)):
-                    if tag == "body":
-                        stack[:] = [x for x in stack if nodes[x].tag != "head"]
+                if tag not in VOID and not (tag in ("html", "body") and opened[tag]):
+                    if tag == "body" and opened["head"]:
+                        leave(next(i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == "head"))
                     enter(tag, m[3])
             elif tag in CONTROLS and tag not in VOID:
                 enter(tag, m[3])
