@@ -36,7 +36,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, check=True)
-    return tokens.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "lossless")
+    return tokens.select("doc_id", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"), "ids", "lossless")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
