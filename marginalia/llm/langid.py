@@ -3,13 +3,16 @@
 Features are n-grams of one to three code points of the lower-cased text (with what is not a letter as one border sign),
 hashed into DIMENSIONS buckets, weighted 1 + ln(tf) times ln((1 + N) / (1 + df)) and normalised. Document frequencies come
 from all training documents. The classifier is fitted on a bounded sample of them (SAMPLE documents, spread over the
-languages) by follow-the-regularised-leader with elastic-net penalties: the sample is dealt into SHARDS; in each of EPOCHS
-rounds every shard goes on from the mean state of the round before in a task of its own. A tenth of the sample is held
-back to fit the temperature that calibrates the scores. At most LANGUAGES languages, the most frequent, are learned.
+languages, and LEAST of each at the least) by follow-the-regularised-leader with elastic-net penalties: the sample is dealt
+into SHARDS; in each of EPOCHS rounds every shard goes on from the mean state of the round before in a task of its own. A
+tenth of the sample is held back to fit the temperature that calibrates the scores.
+
+Every language that a training row has is learned. The state is kept per block of CLASS_BLOCK languages: with several
+blocks, each has one more class for all other languages, and a language's logit is that of its class less that of the rest.
 
 Defined cases: a null text or one without a letter is ``und`` at score 0, and so is every text if nothing was learned; a
-null id is in no held-out set and never trains; training rows need a language; repeated rows count each; an empty table
-gives an empty result; further columns are passed through.
+null id is in no held-out set and never trains; training rows need a language; repeated rows count each; equal scores go to
+the first language in alphabetical order; very long texts are counted whole; an empty table gives an empty result; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from marginalia.llm.hashing import U, mix
 DIMENSIONS = 1 << 14
 ORDERS = 3
 SAMPLE = 8000
-LANGUAGES = 100
+LEAST = 20
+CLASS_BLOCK = 100
 SHARDS, EPOCHS = 4, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -142,14 +146,14 @@ def document_frequencies(train: DataFrame, text_col: str, dimensions: int = DIME
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     train = docs.where(plain(id_col).isNotNull() & ~held_out(id_col) & plain(lang_col).isNotNull() & plain(text_col).isNotNull())
-    sizes = train.groupBy(plain(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = train.groupBy(plain(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
     languages = sorted(r.lang for r in sizes)
     if not languages:
-        return Model([], np.zeros(DIMENSIONS), np.zeros((DIMENSIONS, 0)), 1.0)
+        return Model([], np.zeros(DIMENSIONS), np.zeros((DIMENSIONS, 0), np.float32), 1.0)
     df, n_docs = document_frequencies(train, text_col)
     idf = np.log((1 + n_docs) / (1 + df))
     # documents of a language are drawn by a hash of their id, at the rate that gives each language an equal part
-    rates = {r.lang: min(1.0, sample / len(languages) / r.n) for r in sizes}
+    rates = {r.lang: min(1.0, max(LEAST, sample / len(languages)) / r.n) for r in sizes}
     rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])
     place = (F.xxhash64(plain(id_col), F.lit("sample")) % (1 << 30) + (1 << 30)) / (1 << 31)
     number = F.create_map(*[F.lit(x) for kv in enumerate(languages) for x in reversed(kv)])
@@ -168,12 +172,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = materialise(drawn.mapInArrow(featurise, "calibrate boolean, shard int, `order` long, y int, at binary, value binary"))
 
-    z = n = np.zeros((len(idf), len(languages)))
-    for _ in range(EPOCHS):
-        states = rows.where("NOT calibrate").groupBy("shard").applyInArrow(_round(z, n), "shard int, z binary, n binary").orderBy("shard").collect()
-        if states:
-            z, n = (np.mean([np.frombuffer(bytes(s[k])).reshape(z.shape) for s in states], axis=0) for k in ("z", "n"))
-    weights = _weights(z, n)
+    parts = []
+    for low in range(0, len(languages), CLASS_BLOCK):
+        own = min(CLASS_BLOCK, len(languages) - low)
+        several = own < len(languages)
+        # repartitionByRange gives each shard a task of its own
+        y = F.when((F.col("y") >= low) & (F.col("y") < low + own), F.col("y") - low).otherwise(own).cast("int")
+        dealt = rows.where("NOT calibrate").withColumn("y", y).repartitionByRange(SHARDS, "shard")
+        z = n = np.zeros((len(idf), own + several))
+        for _ in range(EPOCHS):
+            states = dealt.groupBy("shard").applyInArrow(_round(z, n), "shard int, z binary, n binary").orderBy("shard").collect()
+            if states:
+                z, n = (np.mean([np.frombuffer(bytes(s[k])).reshape(z.shape) for s in states], axis=0) for k in ("z", "n"))
+        w = _weights(z, n)
+        parts.append((w[:, :own] - w[:, own:] if several else w).astype(np.float32))
+    weights = np.concatenate(parts, axis=1)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,14 +217,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     schema = docs.select(*[plain(c) for c in names]).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             found = [model.predict(t) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: id, held_out, lang_pred, score; learned from the documents that aren't held out."""
-    model = fit(docs, id_col, text_col, lang_col)
+    model = fit(docs, id_col, text_col, lang_col, sample)
     return predict(docs.select(plain(id_col), held_out(id_col).alias("held_out"), plain(text_col)), model, text_col, [id_col, "held_out"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate as D
 from marginalia.llm import html_text as H
+from marginalia.llm import langid as L
 from marginalia.llm import quality as Q
 from marginalia.llm import sentencepieces as S
 from marginalia.llm.hashing import mix
@@ -366,6 +367,45 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_ftrl_by_definition():
+    """One pass of the learner against its per-coordinate definition."""
+    rnd = np.random.default_rng(3)
+    rows = [(int(rnd.integers(3)), np.sort(rnd.choice(12, 5, replace=False)), rnd.random(5)) for _ in range(80)]
+    z, n = np.zeros((12, 3)), np.zeros((12, 3))
+    L._learn(z, n, rows)
+    z2, n2 = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def w(i, k):
+        if abs(z2[i][k]) <= L.L1:
+            return 0.0
+        return -(z2[i][k] - (L.L1 if z2[i][k] > 0 else -L.L1)) / ((L.BETA + n2[i][k] ** 0.5) / L.ALPHA + L.L2)
+
+    for y, at, value in rows:
+        own = {(i, k): w(i, k) for i in at for k in range(3)}
+        e = [2.718281828459045 ** sum(v * own[i, k] for i, v in zip(at, value)) for k in range(3)]
+        for i, v in zip(at, value):
+            for k in range(3):
+                g = v * (e[k] / sum(e) - (k == y))
+                z2[i][k] += g - ((n2[i][k] + g * g) ** 0.5 - n2[i][k] ** 0.5) / L.ALPHA * own[i, k]
+                n2[i][k] += g * g
+    assert np.allclose(z, z2) and np.allclose(n, n2) and not L._weights(np.full((2, 3), L.L1), np.ones((2, 3))).any()
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than a block: every one is learned. Ties, long texts and clashing columns."""
+    rnd = random.Random(6)
+    monkeypatch.setattr(L, "CLASS_BLOCK", 50)
+    alphabets = {f"l{i:03}": rnd.sample("abcdefghijklmnopqrstuvwxyzäöüßéèêçñáíóú", 6) for i in range(120)}
+    text = lambda a, n=40: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    rows = [(k, text(a), name, "x", "y") for k, (name, a) in enumerate([(n, a) for n, a in alphabets.items() for _ in range(24)])]
+    rows.append((9000, text(alphabets["l007"], 100_000), "l007", "x", "y"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string")
+    got = language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(rows) and len({r.lang_pred for r in got}) == 120
+    assert sum(r.lang == r.lang_pred for r in held) > 0.9 * len(held) > 500 and next(r for r in got if r.doc_id == 9000).lang_pred == "l007"
+
+
 def test_language_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
     assert language_id(docs).first().lang_pred == "und" and language_id(docs.where("false")).count() == 0
