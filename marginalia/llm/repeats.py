@@ -1,20 +1,22 @@
-"""Which windows of fixed width start more than once in a corpus: the common part of the two exact substring dedups.
+"""Cutting documents into phrases, and which windows of fixed width start more than once in a corpus.
 
-A document is a sequence of tokens (bytes or words). Every window of ``width`` tokens has an anchor: the place where a
-rolling hash of ``gram`` tokens is least among the first ``reach`` places (the last such place on ties). Equal windows have
-equal anchors, relative to their starts. Consecutive windows with one anchor form a *phrase*: the text from the first
-window's start to the last one's end. So anchors cut a document into phrases that overlap by width - 1 tokens, each window
-lies in exactly one phrase, and how phrases are cut depends on the text alone.
+A document is a sequence of tokens (bytes or words). Every window of ``width`` tokens has an anchor among its first ``reach``
+places: the first trigger there (a place whose rolling hash of ``gram`` tokens is below a limit), or where there is none, or
+no triggers are asked for, the place of the least rolling hash (the last such place on ties). Equal windows have equal
+anchors, relative to their starts. Consecutive windows with one anchor form a *phrase*: the text from the first window's
+start to the last one's end. So anchors cut a document into phrases that overlap by width - 1 tokens, each window lies in
+exactly one phrase, and how phrases are cut depends on the text alone.
 
 1. The parse: each phrase gives a row of its place, a key of the tokens that all its windows share, and a key of the whole
    phrase. Phrases whose shared key occurs once hold no repeated window; this settles nearly all of an ordinary corpus.
 2. The dictionary: where all phrases of a shared key are equal, all their windows are repeated. Where they differ, equal
    phrases are repeated as wholes, and one of each kind goes into the dictionary.
-3. The rest: windows of dictionary phrases with one shared key are compared with each other, in blocks of whole keys. A key
-   of more than HOT kinds is compared window by window by 128-bit fingerprints that Spark counts, which needs no group in
-   one task.
+3. The rest: suffixes of dictionary phrases with one shared key are put in order, in blocks of whole keys, and neighbours
+   compared. A key of more than HOT kinds is compared window by window by 128-bit fingerprints that Spark counts, which
+   needs no group in one task; tests run both ways on the same texts.
 
-Rows carry keys and places, not text; text goes through one shuffle by document.
+Rows carry keys and places, not text; text goes through one shuffle by document. Rows of documents are told apart by a
+128-bit hash of id and text, so null ids and ids with several texts are safe.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialise, plain
+from marginalia.llm.common import discard, materialise, plain
 from marginalia.llm.hashing import U, mix, windows
 
 #: Windows of a document that are handled at a time, kinds of phrase beyond which a key is compared by fingerprints, and
@@ -51,11 +53,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Windows:
-    """Window width, tokens of the rolling hash, places among which the anchor is chosen; reach + gram <= width + 1."""
+    """Window width, tokens of the rolling hash, places among which the anchor is chosen (reach + gram <= width + 1), and
+    the places between two triggers on average (0: none)."""
 
     width: int
     gram: int
     reach: int
+    gap: int = 0
 
     def phrases(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows, shared key and whole key of each phrase of a sequence of 64-bit codes."""
@@ -76,6 +80,10 @@ class Windows:
         if span < self.reach:
             least = np.minimum(least[: span - self.reach], least[self.reach - span :])
         anchor = (U(0xFFFFFFFF) - (least[:n] & U(0xFFFFFFFF))).astype(np.int64)
+        if self.gap:
+            cut = np.flatnonzero(rolling < U((1 << 64) // self.gap))
+            following = np.append(cut, 1 << 62)[np.searchsorted(cut, np.arange(n))]
+            anchor = np.where(following - np.arange(n) < self.reach, following, anchor)
         lo = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
         count = np.diff(np.append(lo, n))
         at = anchor[lo]
@@ -87,43 +95,44 @@ class Windows:
         return lo + start, count, shared, whole
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, a hash of the text (which tells rows of one id apart) and text."""
-    return docs.select(plain(id_col).cast("long").alias("id"), F.hash(plain(text_col)).alias("h"), plain(text_col).alias("text"))
+    def rows(self, codes: Callable[[str], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Documents (a, b, text among others) -> their phrases (a, b, lo, n, k1, k2)."""
 
-
-def _parse(docs: DataFrame, codes: Callable[[str], np.ndarray], shape: Windows) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 200):
-                batch = whole.slice(s, 200)
-                found = [shape.phrases(codes(t)) if t else None for t in batch.column(2).to_pylist()]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(s, 200) for whole in batches for s in range(0, whole.num_rows, 200)):
+                found = [self.phrases(codes(t)) if t else None for t in batch.column("text").to_pylist()]
                 size = np.array([0 if x is None else len(x[0]) for x in found], np.int64)
                 if size.sum():
                     which = pa.array(np.repeat(np.arange(len(size)), size))
                     lo, n, k1, k2 = (np.concatenate([x[i] for x in found if x is not None]) for i in range(4))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(which), batch.column(1).take(which), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
-                        names=["id", "h", "lo", "n", "k1", "k2"],
+                        [batch.column("a").take(which), batch.column("b").take(which), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                        names=["a", "b", "lo", "n", "k1", "k2"],
                     )
 
-    return docs.mapInArrow(run, "id long, h int, lo int, n int, k1 long, k2 long")
+        return run
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and a 128-bit hash (a, b) of both, which only equal rows share."""
+    id_, text = plain(id_col).cast("long"), plain(text_col)
+    return docs.select(id_.alias("id"), text.alias("text"), F.xxhash64(id_, text).alias("a"), F.xxhash64(text, F.lit(7), id_).alias("b"))
 
 
-_CONTENT = "id long, h int, lo int, n int, k1 long, single boolean, content binary"
+_CONTENT = "a long, b long, lo int, n int, k1 long, single boolean, content binary"
 
 
 def _contents(rows: DataFrame, codes: Callable[[str], np.ndarray], content: Callable[[str], Callable[[int, int], bytes]], shape: Windows) -> DataFrame:
     """The tokens of each listed dictionary phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
         for batch in (whole.slice(s, 200) for whole in batches for s in range(0, whole.num_rows, 200)):
             rows = []
             for r in batch.to_pylist():
                 get = content(r["text"])
-                rows += [(r["id"], r["h"], x["lo"], x["n"], x["k1"], x["single"], get(x["lo"], x["lo"] + x["n"] - 1 + shape.width)) for x in r["list"]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["id", "h", "lo", "n", "k1", "single", "content"])
+                rows += [(r["a"], r["b"], x["lo"], x["n"], x["k1"], x["single"], get(x["lo"], x["lo"] + x["n"] - 1 + shape.width)) for x in r["list"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["a", "b", "lo", "n", "k1", "single", "content"])
 
     return rows.mapInArrow(run, _CONTENT)
 
@@ -143,7 +152,7 @@ def _compare(contents: DataFrame, equal: Callable[[list[bytes], np.ndarray, np.n
         for r, own in zip(rows, flags):
             if r[5]:
                 out += [(r[0], r[1], r[2] + int(s), int(m)) for s, m in zip(*_spans(own))]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "h", "lo", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -158,7 +167,7 @@ def _compare(contents: DataFrame, equal: Callable[[list[bytes], np.ndarray, np.n
         if held:
             yield flush(held)
 
-    return contents.repartition("k1").sortWithinPartitions("k1").mapInArrow(run, "id long, h int, lo int, n int")
+    return contents.repartition("k1").sortWithinPartitions("k1").mapInArrow(run, "a long, b long, lo int, n int")
 
 
 def _by_fingerprint(contents: DataFrame, codes_of: Callable[[bytes], np.ndarray], shape: Windows) -> DataFrame:
@@ -167,16 +176,17 @@ def _by_fingerprint(contents: DataFrame, codes_of: Callable[[bytes], np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                fp = windows(codes_of(r["content"]), shape.width)
+                codes = codes_of(r["content"])
+                fp, more = windows(codes, shape.width), windows(mix(codes + U(1)), shape.width)
                 n = len(fp)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["k1"]] * n, pa.int64()), pa.array(fp.view(np.int64)), pa.array([r["id"]] * n, pa.int64()), pa.array([r["h"]] * n, pa.int32()), pa.array((np.arange(n) + r["lo"]).astype(np.int32)), pa.array([r["single"]] * n, pa.bool_())],
-                    names=["k1", "fp", "id", "h", "lo", "single"],
+                    [pa.array([r["k1"]] * n, pa.int64()), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64)), pa.array([r["a"]] * n, pa.int64()), pa.array([r["b"]] * n, pa.int64()), pa.array((np.arange(n) + r["lo"]).astype(np.int32)), pa.array([r["single"]] * n, pa.bool_())],
+                    names=["k1", "fp", "fp2", "a", "b", "lo", "single"],
                 )
 
-    each = contents.mapInArrow(run, "k1 long, fp long, id long, h int, lo int, single boolean")
-    twice = each.groupBy("k1", "fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "fp")
-    return each.where("single").join(twice, ["k1", "fp"], "left_semi").select("id", "h", "lo", F.lit(1).alias("n"))
+    each = contents.mapInArrow(run, "k1 long, fp long, fp2 long, a long, b long, lo int, single boolean")
+    twice = each.groupBy("k1", "fp", "fp2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "fp", "fp2")
+    return each.where("single").join(twice, ["k1", "fp", "fp2"], "left_semi").select("a", "b", "lo", F.lit(1).alias("n"))
 
 
 def repeated_windows(
@@ -184,25 +194,28 @@ def repeated_windows(
     equal: Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]], codes_of: Callable[[bytes], np.ndarray], token_bytes: int, hot: int = HOT,
 ) -> DataFrame:
     """Every row of docs as id, text and spans, its list of (lo, n): windows lo, ..., lo + n - 1 start elsewhere too. Rows with a null id count as well."""
-    own = _keyed(docs, id_col, text_col)
-    parse = materialise(_parse(own, codes, shape))
+    own = keyed(docs, id_col, text_col)
+    parse = materialise(own.mapInArrow(shape.rows(codes), "a long, b long, lo int, n int, k1 long, k2 long"))
     # apart from the join, so that Spark can split a hot key there
     keys = materialise(parse.groupBy("k1").agg(F.count(F.lit(1)).alias("c1"), F.min("k2").alias("a2"), F.max("k2").alias("b2")).where("c1 > 1"))
-    found = materialise(parse.join(keys, "k1").select("id", "h", "lo", "n", "k1", "k2", (F.col("a2") == F.col("b2")).alias("same")))
+    found = materialise(parse.join(keys, "k1").select("a", "b", "lo", "n", "k1", "k2", (F.col("a2") == F.col("b2")).alias("same")))
+    discard(parse, keys)
     mixed = found.where("NOT same")
-    kinds = mixed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c2"), F.min(F.struct("id", "h", "lo", "n")).alias("first"))
+    kinds = mixed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c2"), F.min(F.struct("a", "b", "lo", "n")).alias("first"))
     crowd = kinds.groupBy("k1").agg((F.count(F.lit(1)) > hot).alias("hot"))
     dictionary = materialise(kinds.join(crowd, "k1").select("first.*", "k1", "k2", (F.col("c2") == 1).alias("single"), "hot"))
-    wholes = found.where("same").select("id", "h", "lo", "n").unionByName(
-        mixed.join(dictionary.where("NOT single").select("k1", "k2"), ["k1", "k2"], "left_semi").select("id", "h", "lo", "n")
+    wholes = found.where("same").select("a", "b", "lo", "n").unionByName(
+        mixed.join(dictionary.where("NOT single").select("k1", "k2"), ["k1", "k2"], "left_semi").select("a", "b", "lo", "n")
     )
 
     def of_docs(spans: DataFrame, how: str, *columns: str) -> DataFrame:
-        listed = spans.groupBy(F.col("id").alias("i"), F.col("h").alias("j")).agg(F.collect_list(F.struct(*columns)).alias("list"))
-        return own.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), how).select("id", "h", "text", "list")
+        # equal rows list equal spans
+        listed = materialise(spans.groupBy("a", "b").agg(F.collect_set(F.struct(*columns)).alias("list")))
+        return own.join(listed, ["a", "b"], how).select("id", "a", "b", "text", "list")
 
     def compared(many: bool) -> DataFrame:
-        return _contents(of_docs(dictionary.where(F.col("hot") == many), "inner", "lo", "n", "k1", "single"), codes, content, shape)
+        chosen = of_docs(dictionary.where(F.col("hot") == many), "inner", "lo", "n", "k1", "single").dropDuplicates(["a", "b"])
+        return _contents(chosen, codes, content, shape)
 
     spans = wholes.unionByName(_compare(compared(False), equal, shape, token_bytes))
     if dictionary.where("hot").limit(1).count():

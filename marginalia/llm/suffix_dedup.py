@@ -1,13 +1,15 @@
 """Suffix-array dedup by prefix-free parsing.
 
-A rolling hash cuts documents into phrases (see repeats.py) that overlap by one byte less than a window. No window is then
-a proper part of two phrases, so the corpus order of windows is the order of the dictionary's suffixes, each as often as
-the parse has its phrase: the parse gives the counts and the dictionary the order. Suffixes of dictionary phrases that may
-be equal are sorted by prefix doubling over blocks of phrases, up to the window's width; neighbours in that order with a
-common prefix of a whole window are repeated.
-
-Defined cases: a null text is an empty one; texts under the width lose nothing; repeated rows repeat each other; an empty
-table gives an empty result; matches never cross documents.
+Rolling-hash triggers cut documents into phrases (see repeats.py) that overlap by one byte less than a window, the context
+that prefix-free parsing needs for windows of that width. No window is then a proper part of two phrases, so the corpus
+order of windows is the order of the dictionary's suffixes, each as often as the parse has its phrase: the parse gives the
+counts and the dictionary the order, and the parse's own suffix array, which orders places behind equal suffixes of a whole
+window, is never needed. Suffixes of dictionary phrases that may be equal are sorted by prefix doubling over blocks of
+phrases, up to the window's width; neighbours in that order with a common prefix of a whole window are repeated.
+
+Defined cases: a null text is an empty one; texts under the width lose nothing; repeated rows repeat each other, also where
+ids are null or one id has several texts; very long texts are parsed in slices; texts without triggers are cut at minima; an
+empty table gives an empty result; matches never cross documents; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _shape(width: int) -> Windows:
     gram = min(8, max(1, width // 4))
-    return Windows(width, gram, max(1, (width - gram + 1) * 7 // 10))
+    return Windows(width, gram, max(1, (width - gram + 1) * 7 // 10), max(2, width // 3))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -68,8 +70,11 @@ def _equal(width: int):
         data = np.frombuffer(b"".join(contents), np.uint8)
         begins = np.cumsum([0, *(len(c) for c in contents[:-1])])
         starts = np.concatenate([np.arange(b, b + n) for b, n in zip(begins, sizes)])
-        order = suffix_ranks(data, width)[starts]
-        twice = np.bincount(order)[order] > 1
+        rank = suffix_ranks(data, width)[starts]
+        order = np.argsort(rank, kind="stable")
+        same = rank[order[1:]] == rank[order[:-1]]  # neighbours with a common prefix of a window
+        twice = np.zeros(len(rank), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
         return np.split(twice, np.cumsum(sizes)[:-1])
 
     return equal

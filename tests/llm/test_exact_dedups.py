@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from marginalia.llm import debruijn_dedup as debruijn_dedup_module
 from marginalia.llm import repeats
 from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.suffix_dedup import suffix_dedup, suffix_ranks
@@ -79,3 +80,44 @@ def test_suffix_ranks():
     ranks = suffix_ranks(data, 5)
     pre = [bytes(data[i : i + 5]).ljust(5, b"\0") for i in range(len(data))]
     assert [sorted(set(pre)).index(p) for p in pre] == ranks.tolist()
+
+
+def test_given_documents(spark, sf_dir):
+    """Both against brute force on whole texts of the given tables."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    seqs = [t.encode() for _, t in rows]
+    got = {r.doc_id: r for r in suffix_dedup(docs).collect()}
+    for (i, _), s, gone in zip(rows, seqs, brute(seqs, 400)):
+        kept = bytes(b for b, g in zip(s, gone) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
+    seqs = [s.split() for s in seqs]
+    got = {r.doc_id: r for r in debruijn_dedup(docs).collect()}
+    for (i, _), s, gone in zip(rows, seqs, brute(seqs, 35)):
+        kept = b" ".join(w for w, g in zip(s, gone) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
+
+
+def test_paths(spark):
+    """A copied text is one path and one span; pointers double along chains and stop at cycles."""
+    text = " ".join(str(i * 7919 % 1009) for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text + " end"), (3, "other words only")], "doc_id long, text string")
+    _, spans = debruijn_dedup_module.repeated_spans(docs, "doc_id", "text", 7)
+    assert [(r.lo, r.n) for r in spans.collect()] == [(0, 394)] * 3
+    pieces = spark.createDataFrame([(i * 10, i * 10 + 5, 6) for i in range(20)] + [(1001, 1002, 2), (1003, 1004, 2)], "piece long, last long, n long")
+    links = spark.createDataFrame([(i * 10 + 5, (i + 1) * 10) for i in range(19)] + [(1002, 1003), (1004, 1001)], "before long, after long")
+    got = {r.piece: (r.path, r.off) for r in debruijn_dedup_module._paths(pieces, links).collect()}
+    assert got == {i * 10: (0, 6 * i) for i in range(20)} | {1001: (1001, 0), 1003: (1003, 0)}
+
+
+def test_odd_texts(spark):
+    """Null ids with different texts, one id with two texts, cycles of words, long texts without triggers."""
+    long = " ".join(str(i) for i in range(60_000))
+    rows = [(None, "a b c d e f g h"), (None, "q r s t u v w x"), (1, "a b c d e f g h"), (1, "z y x"), (2, "la " * 500), (3, "x" * 3000), (4, long), (5, long + " more"), (6, None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, spans string, a int")
+    for op, split, width in ((debruijn_dedup, bytes.split, 7), (suffix_dedup, bytes, 40)):
+        want = Counter()
+        seqs = [split((t or "").encode()) for _, t in rows]
+        for (i, _), s, gone in zip(rows, seqs, brute(seqs, width)):
+            want[i, len(s), sum(gone)] += 1
+        assert Counter((r[0], r[1], r.n_removed) for r in op(docs, width=width).collect()) == want
