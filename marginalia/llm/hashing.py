@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words, remembered while they are not too many."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

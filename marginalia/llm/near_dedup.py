@@ -3,23 +3,26 @@
 Equal texts form exact classes first. Of each class one representative is compared:
 
 1. Documents are dealt into blocks by id. Each block counts its distinct five-word shingles and sends the counts to the
-   shingle's counting task, so even a shingle of every document costs one entry per block. Counting tasks return to the
-   blocks the shingles that two or more representatives have, with their document frequency over all documents.
+   shingles' counting tasks, so even a shingle of every document costs one entry per block. A row holds all of a block's
+   shingles for one task, so there are never more rows than shingles, and far fewer while blocks are few. Counting tasks
+   return to the blocks the shingles that two or more representatives have, with their document frequency over all documents.
 2. A shingle's weight is its term frequency times 1 + damping * ln(N / df) / ln(N). Shingles of one representative alone
    can never be shared; together they act as one private element of their summed weight, which leaves every weighted
    Jaccard similarity as it is. A document whose shared weight is below the threshold times its whole weight cannot
    reach the threshold with any other and needs no signature: this test is exact.
 3. The rest get ICWS signatures, cut into bands. In each band's bucket every member is verified against the bucket's
    hub (the member that meets the most others over all bands); where members of a bucket are not in one component after
-   that, all documents that meet in such buckets are verified pair by pair, in blocks. Pairs that their private weights alone
-   keep below the threshold are left out; that bound is exact. Links are exact weighted Jaccard similarities at the threshold or above.
+   that, they are verified pair by pair, in blocks of that bucket. Pairs that their private weights alone keep below the
+   threshold are left out; that bound is exact. Links are exact weighted Jaccard similarities at the threshold or above.
 
 A member of a group of copies or near copies costs a row per band and about one verified pair, so rows grow in
 proportion however large the group is.
 
 Defined cases: words are runs of bytes other than ASCII white space; a text of one to four words is one shingle; texts
 without words equal only their exact copies; a null text is a class of its own; rows with a null id are left out of the
-classes (near_dedup_filter keeps them); repeated ids with the same text are one document; an empty table has no classes.
+classes (near_dedup_filter keeps them); repeated ids with the same text are one document; an id with several texts is
+classed by the text of least MD5 (near_dedup_filter keeps its other texts); very long texts have all their shingles; of
+representatives that tie the least id is taken; an empty table has no classes; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import blocks_for, materialise, plain, text_bytes
+from marginalia.llm.common import blocks_for, discard, materialise, plain, text_bytes
 from marginalia.llm.components import components
 from marginalia.llm.hashing import U, mix, pack, unpack, windows, word_hashes
 
@@ -43,6 +46,8 @@ REST_BLOCK = 256
 #: How much rarer shingles weigh more: from 1 for a shingle of all documents to 1 + DAMPING for one of a single document.
 DAMPING = 0.1
 BLOCK_BYTES = 8 << 20
+#: Blocks' worth of shingles that a counting task holds.
+TASK_BLOCKS = 3
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,19 +95,18 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return float(low / (high - low)) if high > low else 1.0
 
 
-_SIDE = "block int, id long, copies long, hashes binary, dfs binary"
+_SIDE = "block int, id long, key string, copies long, hashes binary, dfs binary"
 _COUNTS = "target int, block int, single binary, several binary, reps binary, docs binary"
 
 
 def _own(docs: pa.Table, side: pa.Table) -> list[tuple[int, str, int]]:
     """The block's representatives: id, text, copies."""
-    copies = {i: n for i, n in zip(side.column("id").to_pylist(), side.column("copies").to_pylist()) if i is not None}
-    seen: set[int] = set()
+    copies = {(i, k): n for i, k, n in zip(*(side.column(c).to_pylist() for c in ("id", "key", "copies"))) if i is not None}
     out = []
-    for i, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()):
-        if i in copies and i not in seen:
-            seen.add(i)
-            out.append((i, text, copies[i]))
+    for i, key, text in zip(*(docs.column(c).to_pylist() for c in ("id", "key", "text"))):
+        n = copies.pop((i, key), None)  # once, also where rows are repeated
+        if n is not None:
+            out.append((i, text, n))
     return out
 
 
@@ -120,13 +124,13 @@ def _count(targets: int):
             every, n_docs = every[order], n_docs[order]
             first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             h, reps, docs_n = every[first], np.diff(np.append(first, len(every))), np.add.reduceat(n_docs, first)
-            edge = np.searchsorted(h, [U((t << 64) // targets) for t in range(1, targets)])
+            target = ((h >> U(32)) * U(targets)) >> U(32)
+            edge = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
             block = docs.column("block")[0].as_py()
-            for t, (a, b) in enumerate(zip(np.concatenate(([0], edge)), np.append(edge, len(h)))):
-                if a < b:
-                    one = (reps[a:b] == 1) & (docs_n[a:b] == 1)
-                    for c, v in zip(rows, (t, block, pack(h[a:b][one]), pack(h[a:b][~one]), reps[a:b][~one].astype(np.int32).tobytes(), docs_n[a:b][~one].astype(np.int64).tobytes())):
-                        rows[c].append(v)
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(h)]):
+                one = (reps[a:b] == 1) & (docs_n[a:b] == 1)
+                for c, v in zip(rows, (int(target[a]), block, pack(h[a:b][one]), pack(h[a:b][~one]), reps[a:b][~one].astype(np.int32).tobytes(), docs_n[a:b][~one].astype(np.int64).tobytes())):
+                    rows[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("target", "block") else pa.binary()) for c, v in rows.items()})
 
     return run
@@ -155,7 +159,7 @@ def _shared(got: pa.Table) -> pa.Table:
     ends = np.append(at[1:], len(h))
     none = pa.nulls(len(names), pa.int64())
     return pa.table({
-        "block": pa.array(names, pa.int32()), "id": none, "copies": none,
+        "block": pa.array(names, pa.int32()), "id": none, "key": pa.nulls(len(names), pa.string()), "copies": none,
         "hashes": pa.array([pack(h[a:b]) for a, b in zip(at, ends)], pa.binary()),
         "dfs": pa.array([df[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
     })
@@ -190,6 +194,11 @@ def _vectors(n_docs: int, threshold: float, damping: float):
     return run
 
 
+def _text_key(text: str | Column, id_: str | Column) -> Column:
+    """What equal texts share; a null text shares it with none of another id."""
+    return F.coalesce(F.md5(text), F.concat(F.lit("null "), (F.col(id_) if isinstance(id_, str) else id_).cast("string")))
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) at the threshold or above, with their similarity."""
     left = vectors.select(F.col("id").alias("a"), F.struct("hashes", "weights", "private").alias("x"))
@@ -207,18 +216,16 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 
 
 def _rest(apart: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """All links between documents of one group and different roots; apart has (id, root, least: an id of its bucket).
+    """All links between documents of one bucket and different roots; apart has (band, id, root).
 
-    A group is dealt into blocks of about REST_BLOCK documents and each pair of blocks is one task's work, so no group has
-    to fit into one task and only links leave a task.
+    A bucket is dealt into blocks of about REST_BLOCK documents and each pair of blocks is one task's work, so no bucket has
+    to fit into one task, buckets are not chained, and only links leave a task.
     """
-    groups = components(apart.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    docs = apart.select("id", "root").distinct().join(groups.withColumnRenamed("root", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    sizes = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / REST_BLOCK).cast("int").alias("blocks"))
-    placed = docs.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = materialise(apart.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / REST_BLOCK).cast("int").alias("blocks")))
+    placed = apart.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     whole = placed.join(vectors.select("id", "hashes", "weights", "private"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = whole.select("grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "hashes", "weights", "private")
-    return keyed.groupBy("grp", "lo", "hi").applyInArrow(_block_links(threshold), "a long, b long, similarity double")
+    keyed = whole.select("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "hashes", "weights", "private")
+    return keyed.groupBy("band", "lo", "hi").applyInArrow(_block_links(threshold), "a long, b long, similarity double").distinct()
 
 
 def _block_links(threshold: float):
@@ -251,46 +258,53 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(members, links, roots): members maps each id to its exact class's representative, links are the verified pairs of
     representatives that connect the near-duplicate classes, and roots gives each linked representative its class."""
     spark = docs.sparkSession
-    own = docs.select(plain(id_col).cast("long").alias("id"), plain(text_col).alias("text")).where("id IS NOT NULL")
-    key = F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))).alias("key")
-    ids = materialise(own.select("id", key).distinct())
+    own = docs.select(plain(id_col).cast("long").alias("id"), plain(text_col).alias("text")).where("id IS NOT NULL").withColumn("key", _text_key("text", "id"))
+    ids = own.groupBy("id").agg(F.min("key").alias("key"))
+    ids = materialise(ids)
     classes = materialise(ids.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))  # apart from the join, so that Spark can split a hot key there
-    members = materialise(ids.join(classes, "key").groupBy("id").agg(F.min(F.struct("rep", "copies")).alias("r")).select("id", "r.rep", "r.copies"))
+    members = materialise(ids.join(classes, "key").select("id", "key", "rep", "copies"))
+    discard(ids, classes)
     n_docs = members.count()
     parts = blocks_for(spark, text_bytes(own, "text"), BLOCK_BYTES)
 
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("block")
-    dealt = own.where("text IS NOT NULL").select(block("id"), "id", "text").groupBy("block")
-    reps = members.where("id = rep").select(block("id"), "id", "copies", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("dfs"))
-    counts = dealt.cogroup(reps.groupBy("block")).applyInArrow(_count(parts), _COUNTS)
+    dealt = own.where("text IS NOT NULL").select(block("id"), "id", "key", "text").groupBy("block")
+    reps = members.where("id = rep").select(block("id"), "id", "key", "copies", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("dfs"))
+    counts = dealt.cogroup(reps.groupBy("block")).applyInArrow(_count(-(-parts // TASK_BLOCKS)), _COUNTS)
     shared = counts.groupBy("target").applyInArrow(_shared, _SIDE)
     vectors = materialise(
         dealt.cogroup(reps.unionByName(shared).groupBy("block")).applyInArrow(_vectors(n_docs, threshold, damping), "id long, hashes binary, weights binary, private double, common double, bands array<long>")
     )
 
     rows = vectors.select("id", "private", "common", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "band")
-    hubs = rows.groupBy("id").agg(F.sum("n").alias("met"))
-    rows = materialise(rows.join(hubs, "id"))
-    leaders = rows.groupBy("band").agg(F.max_by(F.struct("id", "private", "common"), F.struct("met", -F.col("private"), -F.col("id"))).alias("hub")).select("band", F.col("hub.id").alias("hub"), F.col("hub.private").alias("private2"), F.col("hub.common").alias("common2"))
+    # aggregates are written before they are joined, so that Spark can split a hot bucket or hub there
+    sizes = materialise(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = materialise(rows.join(sizes, "band"))
+    hubs = materialise(met.groupBy("id").agg(F.sum("n").alias("met")))
+    rows = materialise(met.join(hubs, "id"))
+    discard(sizes, met, hubs)
+    leaders = materialise(rows.groupBy("band").agg(F.max_by(F.struct("id", "private", "common"), F.struct("met", -F.col("private"), -F.col("id"))).alias("hub")).select("band", F.col("hub.id").alias("hub"), F.col("hub.private").alias("private2"), F.col("hub.common").alias("common2")))
     # what one of two sets has alone is in their union, what they have in common is at most the lesser shared weight: this bound is exact
     shared_most = F.least("common", "common2")
     possible = shared_most >= threshold * (F.greatest("common", "common2") + F.col("private") + F.col("private2")) * (1 - 1e-9)
     star = rows.join(leaders, "band").where((F.col("id") != F.col("hub")) & possible).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     star = materialise(star)
     links = materialise(_verified(star, vectors, threshold))
+    discard(star, leaders)
 
     roots = components(links)
-    # what is still apart in a bucket: whole groups of documents that meet in buckets, pair by pair in blocks
+    # what is still apart in a bucket, pair by pair in blocks
     at = rows.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("least")).where("lo <> hi").select("band", "least")
+    at = materialise(at)
+    mixed = materialise(at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"))
     apart = materialise(at.join(mixed, "band"))
+    discard(rows, at, mixed)
     if not apart.isEmpty():
         more = materialise(_rest(apart, vectors, threshold))
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
+    discard(apart, vectors)
     return members, links, roots
 
 
@@ -306,11 +320,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class (the least id), and one row of it; rows with a null id stay."""
+    """docs with one document of each class (the least id), and one row of it; rows with a null id, and texts of an id beside the one it is classed by, stay."""
     members, _, roots = near_links(docs, id_col, text_col, threshold)
-    keep = members.where("id = rep").join(roots, "id", "left").where("root IS NULL OR root = id").select(F.col("id").alias("__near_keep"))
-    named = docs.where(plain(id_col).isNotNull())
-    kept = named.join(keep, plain(id_col).cast("long") == F.col("__near_keep"), "left_semi")
-    if named.count() > members.count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(plain(id_col).isNull()))
+    stays = members.join(roots, "id", "left").select(F.col("id").alias("__near_id"), F.col("key").alias("__near_key"), ((F.col("id") == F.col("rep")) & (F.col("root").isNull() | (F.col("root") == F.col("id")))).alias("__near_stays"))
+    own = plain(id_col).cast("long")
+    often = materialise(docs.where(own.isNotNull()).groupBy(own.alias("__near_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__near_id"))
+    stays = materialise(stays)
+    # ids of one row need no look at their text, and no shuffle of it where the list of ids is small
+    once = stays.where("__near_stays").join(often, "__near_id", "left_anti").select("__near_id")
+    kept = docs.join(once, own == F.col("__near_id"), "left_semi")
+    more = docs.join(stays.join(often, "__near_id", "left_semi"), own == F.col("__near_id")).withColumn("__near_text", _text_key(plain(text_col), own))
+    more = more.where((F.col("__near_text") != F.col("__near_key")) | F.col("__near_stays")).dropDuplicates(["__near_id", "__near_text"])
+    return kept.unionByName(more.select(*[plain(c) for c in docs.columns])).unionByName(docs.where(own.isNull()))
