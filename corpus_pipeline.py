@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm.common import materialise, table
+from marginalia.llm.common import discard, materialise, scratch, table
 from marginalia.llm.decontaminate import decontaminate
 from marginalia.llm.line_dedup import line_dedup
 from marginalia.llm.near_dedup import near_dedup_filter
@@ -56,7 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage writes for itself goes when it ends, its output when the next one has ended."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
