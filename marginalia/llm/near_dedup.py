@@ -47,7 +47,7 @@ REST_BLOCK = 256
 DAMPING = 0.1
 BLOCK_BYTES = 8 << 20
 #: Blocks' worth of shingles that a counting task holds.
-TASK_BLOCKS = 3
+TASK_BLOCKS = 1
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +139,14 @@ def _count(targets: int):
 def _shared(got: pa.Table) -> pa.Table:
     """Counting task: the shingles of two or more representatives, for each block that has them."""
     hashes, blocks, reps, docs = [], [], [], []
-    for r in got.to_pylist():
-        one, more = unpack(r["single"]), unpack(r["several"])
+    for single, several, own, reps_n, docs_n in zip(*(got.column(c) for c in ("single", "several", "block", "reps", "docs"))):
+        one, more = unpack(single.as_py()), unpack(several.as_py())
         hashes += [one, more]
-        blocks.append(np.full(len(one) + len(more), r["block"], np.int32))
-        reps += [np.ones(len(one), np.int64), np.frombuffer(r["reps"], np.int32).astype(np.int64)]
-        docs += [np.ones(len(one), np.int64), np.frombuffer(r["docs"], np.int64)]
+        blocks.append(np.full(len(one) + len(more), own.as_py(), np.int32))
+        reps += [np.ones(len(one), np.int32), np.frombuffer(reps_n.as_py(), np.int32)]
+        docs += [np.ones(len(one), np.int64), np.frombuffer(docs_n.as_py(), np.int64)]
     h, block, reps_n, docs_n = (np.concatenate(x) for x in (hashes, blocks, reps, docs))
+    del hashes, blocks, reps, docs
     order = np.argsort(h, kind="stable")
     h, block = h[order], block[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
