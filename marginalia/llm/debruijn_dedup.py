@@ -5,7 +5,8 @@ Edges of the graph are the windows of ``width`` words, nodes the runs of width -
 1. Parse. Consecutive edges of a document with one minimiser (the place where a rolling hash is least) form a run whose words
    around the minimiser all its edges share. Runs whose shared words occur once hold no repeated edge, which settles nearly
    all of an ordinary corpus without a row per edge. Of equal runs one *kind* goes on, with its number of occurrences.
-2. Edges. Kinds are cut into their edges; an edge's multiplicity is the sum over its kinds. Repeated edges make the graph.
+2. Edges. Where all runs of shared words are of one kind, its edges are repeated as they stand, and stay one row. Other kinds
+   are cut into their edges; an edge's multiplicity is the sum over its kinds. Repeated edges make the graph.
 3. Compaction. A node is nonbranching if one repeated edge enters and one leaves it. Edges of a kind are joined at
    nonbranching nodes inside it to pieces; pieces are joined across kinds by pointer doubling over the links that
    nonbranching border nodes give, which leaves every piece with its path and its place in it (pieces on a cycle of links
@@ -35,11 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import discard, materialise
-from marginalia.llm.hashing import U, WordHashes, mix, windows, word_hashes
+from marginalia.llm.hashing import U, WordHashes, rolled, word_hashes
 from marginalia.llm.repeats import Windows, covered, keyed
 
 WIDTH = 35
 _EDGE_ROWS = 50_000
+_NAMES = {"k1": "long", "k2": "long", "same": "boolean", "pos": "int", "n": "int", "e": "long", "last": "long", "s": "long", "t": "long", "v": "long", "c": "long"}
 
 
 class _SecondHashes(WordHashes):
@@ -64,7 +66,7 @@ def _shape(width: int) -> Windows:
 
 def _checks(words: list[bytes], width: int) -> np.ndarray:
     """The second hash of each window: 38 bits, so that sums over 2**25 windows are exact."""
-    return windows(np.fromiter(map(_second.__getitem__, words), np.uint64, len(words)), width) >> U(26)
+    return rolled(np.fromiter(map(_second.__getitem__, words), np.uint64, len(words)), width) >> U(26)
 
 
 def _parse(own: DataFrame, shape: Windows) -> DataFrame:
@@ -72,37 +74,44 @@ def _parse(own: DataFrame, shape: Windows) -> DataFrame:
 
 
 def _edges(listed: DataFrame, width: int) -> DataFrame:
-    """Each edge of each listed kind: its two hashes, source and target node, place in the kind, second hash, occurrences."""
-    names = ("k1", "k2", "pos", "e1", "e2", "s", "t", "v", "c")
+    """Rows of edges of each listed kind (all of them where same, else one each): place in the kind, number, first and last
+    edge, source and target node, sum of second hashes, occurrences."""
+
+    def of_doc(text: str, kinds: list[dict]) -> list[np.ndarray]:
+        words = _words(text)
+        codes = word_hashes(words)
+        edges, nodes = rolled(codes, width), rolled(codes, width - 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_checks(words, width), dtype=np.uint64)))
+        lo, n, c, k1, k2 = (np.array([k[x] for k in kinds], np.int64) for x in ("lo", "n", "c", "k1", "k2"))
+        same = np.array([k["same"] for k in kinds])
+        rows = np.where(same, 1, n)
+        which = np.repeat(np.arange(len(kinds)), rows)
+        pos = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)
+        at, own = lo[which] + pos, np.where(same, n, 1)[which]
+        end = at + own
+        signed = lambda x: x.view(np.int64)
+        return [k1[which], k2[which], same[which], pos.astype(np.int32), own.astype(np.int32), signed(edges[at]), signed(edges[end - 1]), signed(nodes[at]), signed(nodes[end]), signed(sums[end] - sums[at]), c[which]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            columns = [pa.array(np.concatenate([h[i] for h in held])) for i in range(len(_NAMES))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+            return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
-        for batch in batches:
+        for batch in (whole.slice(s, 100) for whole in batches for s in range(0, whole.num_rows, 100)):
             for text, kinds in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _words(text)
-                codes = word_hashes(words)
-                check = _checks(words, width)
-                for k in kinds:
-                    lo, n = k["lo"], k["n"]
-                    part = codes[lo : lo + n + width - 1]
-                    e1, nodes = windows(part, width), windows(part, width - 1)
-                    e2 = mix(nodes[:-1] ^ mix(nodes[1:] + U(0x5BD1E995)))
-                    held.append((np.full(n, k["k1"]), np.full(n, k["k2"]), np.arange(n, dtype=np.int32), *(x.view(np.int64) for x in (e1, e2, nodes[:-1], nodes[1:], check[lo : lo + n])), np.full(n, k["c"])))
-                    size += n
-                    if size >= _EDGE_ROWS:
-                        yield flush()
-                        size = 0
+                held.append(of_doc(text, kinds))
+                size += len(held[-1][0])
+                if size >= _EDGE_ROWS:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
-    return listed.select("text", "list").mapInArrow(run, "k1 long, k2 long, pos int, e1 long, e2 long, s long, t long, v long, c long")
+    return listed.select("text", "list").mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in _NAMES.items()))
 
 
 def _paths(pieces: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,30 +146,32 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int) -> t
     own = keyed(docs, id_col, text_col)
     parse = materialise(_parse(own, _shape(width)))
     # apart from the joins, so that Spark can split a hot key there
-    keys = materialise(parse.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1"))
-    found = materialise(parse.join(keys, "k1", "left_semi"))
+    keys = materialise(parse.groupBy("k1").agg(F.count(F.lit(1)).alias("c"), (F.min("k2") == F.max("k2")).alias("same")).where("c > 1").select("k1", "same"))
+    found = materialise(parse.join(keys, "k1"))
     discard(parse, keys)
-    kinds = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("a", "b", "lo", "n")).alias("at"))
-    listed = kinds.groupBy("at.a", "at.b").agg(F.collect_list(F.struct("at.lo", "at.n", "k1", "k2", "c")).alias("list"))
+    kinds = found.groupBy("k1", "k2", "same").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("a", "b", "lo", "n")).alias("at"))
+    listed = materialise(kinds.groupBy("at.a", "at.b").agg(F.collect_list(F.struct("at.lo", "at.n", "k1", "k2", "same", "c")).alias("list")))
     each = materialise(_edges(own.join(listed, ["a", "b"]).dropDuplicates(["a", "b"]), width))
-    repeated = materialise(each.groupBy("e1", "e2").agg(F.sum("c").alias("m")).where("m > 1").select("e1", "e2"))
+    discard(listed)
+    # an edge of cut kinds is known by its own hash and its run's shared words
+    repeated = materialise(each.where("NOT same").groupBy("k1", "e").agg(F.sum("c").alias("m")).where("m > 1").select("k1", "e"))
+    real = each.where("same").unionByName(each.where("NOT same").join(repeated, ["k1", "e"], "left_semi").select(*each.columns)).drop("same", "c")
     by_kind = Window.partitionBy("k1", "k2").orderBy("pos")
+    before, after = F.lag(F.col("pos") + F.col("n")).over(by_kind), F.lead("pos").over(by_kind)
     graph = materialise(
-        each.join(repeated, ["e1", "e2"], "left_semi")
-        .withColumn("opens", F.coalesce(F.lag("pos").over(by_kind) != F.col("pos") - 1, F.lit(True)))
-        .withColumn("closes", F.coalesce(F.lead("pos").over(by_kind) != F.col("pos") + 1, F.lit(True)))
+        real.withColumn("opens", F.coalesce(before != F.col("pos"), F.lit(True))).withColumn("closes", F.coalesce(after != F.col("pos") + F.col("n"), F.lit(True)))
     )
     discard(each, repeated)
     none = F.lit(None).cast("long")
-    ends = graph.select(F.col("t").alias("node"), F.col("e1").alias("into"), none.alias("out"), F.col("closes").alias("border")).unionByName(
-        graph.select(F.col("s").alias("node"), none.alias("into"), F.col("e1").alias("out"), F.col("opens").alias("border"))
+    ends = graph.select(F.col("t").alias("node"), F.col("last").alias("into"), none.alias("out"), F.col("closes").alias("border")).unionByName(
+        graph.select(F.col("s").alias("node"), none.alias("into"), F.col("e").alias("out"), F.col("opens").alias("border"))
     )
     nodes = materialise(
         ends.groupBy("node").agg(F.min("into").alias("before"), F.min("out").alias("after"), F.max("border").alias("border"), ((F.min("into") == F.max("into")) & (F.min("out") == F.max("out"))).alias("single"))
         .select("node", "before", "after", F.coalesce("single", F.lit(False)).alias("single"), "border").where("border OR NOT single")
     )
-    cut = graph.join(nodes.select(F.col("node").alias("s"), F.lit(True).alias("cut")), "s", "left").withColumn("piece", F.last(F.when(F.col("cut"), F.col("e1")), ignorenulls=True).over(by_kind))
-    parts = materialise(cut.groupBy("k1", "k2", "piece").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.max_by("e1", "pos").alias("last")))
+    cut = graph.join(nodes.select(F.col("node").alias("s"), F.lit(True).alias("cut")), "s", "left").withColumn("piece", F.last(F.when(F.col("cut"), F.col("e")), ignorenulls=True).over(by_kind))
+    parts = materialise(cut.groupBy("k1", "k2", "piece").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.sum("v").alias("v"), F.max_by("last", "pos").alias("last")))
     discard(graph)
     pieces = materialise(parts.groupBy("piece").agg(F.max_by("last", "n").alias("last"), F.max("n").alias("n")))
     paths = _paths(pieces, nodes.where("single").select("before", "after"))

@@ -48,6 +48,28 @@ def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     return mix(acc)
 
 
+_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier, and of its inverse."""
+    if len(_powers.get("up", ())) < n:
+        for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
+            _powers[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base))), dtype=np.uint64)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def rolled(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width tokens, at a cost that doesn't depend on the width."""
+    n = len(tokens) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    up, down = powers(len(tokens))
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * up, dtype=np.uint64)))
+    return mix((prefix[width:] - prefix[:-width]) * down[:n])
+
+
 def pack(sorted_hashes: np.ndarray) -> bytes:
     """Sorted hashes as differences, byte plane by byte plane, which block compression then shortens."""
     return np.ascontiguousarray(np.diff(sorted_hashes, prepend=U(0)).view(np.uint8).reshape(-1, 8).T).tobytes()

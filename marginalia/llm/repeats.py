@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import discard, materialise, plain
-from marginalia.llm.hashing import U, mix, windows
+from marginalia.llm.hashing import U, mix, powers, windows
 
 #: Windows of a document that are handled at a time, kinds of phrase beyond which a key is compared by fingerprints, and
 #: tokens of a block of dictionary phrases.
@@ -38,19 +38,6 @@ CHUNK = 1 << 19
 HOT = 2048
 BLOCK = 1 << 20
 
-_BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        one = np.ones(1, np.uint64)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            _powers[name] = np.cumprod(np.concatenate((one, np.full(n, base))), dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 @dataclass(frozen=True)
 class Windows:
     """Window width, tokens of the rolling hash, places among which the anchor is chosen (reach + gram <= width + 1), and
@@ -87,7 +74,7 @@ class Windows:
         lo = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
         count = np.diff(np.append(lo, n))
         at = anchor[lo]
-        up, down = _power(len(codes) + 1)
+        up, down = powers(len(codes) + 1)
         prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)))
         sub = lambda a, b: (prefix[b] - prefix[a]) * down[a]
         shared = mix(sub(at, at + self.width - self.reach + 1))
