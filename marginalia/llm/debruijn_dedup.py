@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import discard, materialise
-from marginalia.llm.hashing import U, WordHashes, rolled, word_hashes
+from marginalia.llm.hashing import U, rolled, word_hashes
 from marginalia.llm.repeats import Windows, covered, keyed
 
 WIDTH = 35
@@ -44,19 +43,8 @@ _EDGE_ROWS = 50_000
 _NAMES = {"k1": "long", "k2": "long", "same": "boolean", "pos": "int", "n": "int", "e": "long", "last": "long", "s": "long", "t": "long", "v": "long", "c": "long"}
 
 
-class _SecondHashes(WordHashes):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, 1)
-        return value
-
-
-_second = _SecondHashes()
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
 
 def _shape(width: int) -> Windows:
@@ -64,13 +52,13 @@ def _shape(width: int) -> Windows:
     return Windows(width, gram, max(1, (width - gram + 1) * 7 // 10))
 
 
-def _checks(words: list[bytes], width: int) -> np.ndarray:
+def _checks(raw: bytes, width: int) -> np.ndarray:
     """The second hash of each window: 38 bits, so that sums over 2**25 windows are exact."""
-    return rolled(np.fromiter(map(_second.__getitem__, words), np.uint64, len(words)), width) >> U(26)
+    return rolled(word_hashes(raw, 1), width) >> U(26)
 
 
 def _parse(own: DataFrame, shape: Windows) -> DataFrame:
-    return own.mapInArrow(shape.rows(lambda t: word_hashes(_words(t))), "a long, b long, lo int, n int, k1 long, k2 long")
+    return own.mapInArrow(shape.rows(lambda t: word_hashes(_raw(t))), "a long, b long, lo int, n int, k1 long, k2 long")
 
 
 def _edges(listed: DataFrame, width: int) -> DataFrame:
@@ -78,10 +66,10 @@ def _edges(listed: DataFrame, width: int) -> DataFrame:
     edge, source and target node, sum of second hashes, occurrences."""
 
     def of_doc(text: str, kinds: list[dict]) -> list[np.ndarray]:
-        words = _words(text)
-        codes = word_hashes(words)
+        raw = _raw(text)
+        codes = word_hashes(raw)
         edges, nodes = rolled(codes, width), rolled(codes, width - 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_checks(words, width), dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_checks(raw, width), dtype=np.uint64)))
         lo, n, c, k1, k2 = (np.array([k[x] for k in kinds], np.int64) for x in ("lo", "n", "c", "k1", "k2"))
         same = np.array([k["same"] for k in kinds])
         rows = np.where(same, 1, n)
@@ -192,18 +180,18 @@ def debruijn_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = own.join(listed, ["a", "b"], "left").select(F.col("id").alias(id_col), "text", "list")
     schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text
 
-    def verified(words: list[bytes], spans: list[dict]) -> list[dict]:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_checks(words, width), dtype=np.uint64)))
+    def verified(raw: bytes, spans: list[dict]) -> list[dict]:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_checks(raw, width), dtype=np.uint64)))
         return [s for s in spans if s["lo"] + s["n"] < len(sums) and int(sums[s["lo"] + s["n"]] - sums[s["lo"]]) == s["v"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(s, 500) for whole in batches for s in range(0, whole.num_rows, 500)):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = _words(text)
-                kept = words
+                raw = _raw(text)
+                kept = words = raw.split()
                 if spans:
-                    gone = covered(verified(words, spans), width, len(words)).tolist()
+                    gone = covered(verified(raw, spans), width, len(words)).tolist()
                     kept = [w for w, g in zip(words, gone) if not g]
                 whole = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "replace") if kept_text else None))

@@ -52,10 +52,10 @@ TASK_BLOCKS = 1
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and how often each occurs."""
-    words = text.encode("utf-8", "replace").split()
-    if not words:
+    words = word_hashes(text.encode("utf-8", "replace"))
+    if not len(words):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(windows(word_hashes(words), min(SHINGLE, len(words))), return_counts=True)
+    return np.unique(windows(words, min(SHINGLE, len(words))), return_counts=True)
 
 
 def idf(df: np.ndarray, n_docs: int, damping: float = DAMPING) -> np.ndarray:

@@ -121,3 +121,17 @@ def test_odd_texts(spark):
         for (i, _), s, gone in zip(rows, seqs, brute(seqs, width)):
             want[i, len(s), sum(gone)] += 1
         assert Counter((r[0], r[1], r.n_removed) for r in op(docs, width=width).collect()) == want
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words and only they have equal hashes, wherever slices are cut."""
+    from marginalia.llm import hashing
+
+    rnd = random.Random(2)
+    raw = "".join(rnd.choice("abé \t\n\x1c") for _ in range(5000)).encode() + b"x" * 700 + b" end"
+    for piece in (1 << 20, 100):
+        monkeypatch.setattr(hashing, "_SLICE", piece)
+        got = hashing.word_hashes(raw).tolist()
+        words = raw.split()
+        assert len(got) == len(words) and len(set(zip(got, words))) == len(set(got)) == len(set(words))
+    assert len(hashing.word_hashes(b" \n")) == len(hashing.word_hashes(b"")) == 0
