@@ -47,6 +47,16 @@ def access_filter(level: str) -> dict:
     return {"classification": {"$in": LEVELS.get(level, LEVELS["default"])}}
 
 
+def base_filter(level: str, filters: dict | None = None, active_only: bool = False, fields: tuple[str, ...] = ("department", "clause_type", "doc_type")) -> dict:
+    """What a caller may see, active documents only if asked for, and the given fields: one value or a list of them; empty ones don't count."""
+    where = access_filter(level) | ({"status": "active"} if active_only else {})
+    for key in fields:
+        value = (filters or {}).get(key)
+        if value:
+            where[key] = {"$in": list(value)} if isinstance(value, (list, tuple)) else value
+    return where
+
+
 def visible(classification: Column, level: str) -> Column:
     """The check after retrieval: what has no classification counts as top-secret."""
     return F.coalesce(classification, F.lit("top-secret")).isin(list(LEVELS.get(level, LEVELS["default"])))

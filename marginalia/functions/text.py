@@ -59,12 +59,17 @@ def normalize_version(version: Column) -> Column:
     return F.when((v == "") | v.contains("."), v).otherwise(F.concat(v, F.lit(".0")))
 
 
-def mentioned_versions(question: Column, available: Column) -> Column:
-    """Available versions that a question names, in order of first mention."""
+def named_versions(question: Column) -> Column:
+    """Versions that a question names, in order of first mention."""
     pattern = F.lit(r"(?i)\b(?:v(?:ersion)?\s*\.?\s*)(\d+(?:\.\d+)?)\b|\b(\d+\.\d+)\b")
     a, b = (F.regexp_extract_all(question, pattern, F.lit(i)) for i in (1, 2))
     named = F.zip_with(a, b, lambda x, y: normalize_version(F.when(x != "", x).otherwise(y)))
-    return F.array_distinct(F.filter(named, lambda v: F.array_contains(available, v)))
+    return F.array_distinct(named)
+
+
+def mentioned_versions(question: Column, available: Column) -> Column:
+    """Available versions that a question names, in order of first mention."""
+    return F.filter(named_versions(question), lambda v: F.array_contains(available, v))
 
 
 def _month(name: Column) -> Column:
@@ -131,11 +136,15 @@ def slug(name: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("x"))
 
 
+# Fixed value: emphasis marks, which hug what they emphasise and stand outside words.
+EMPHASIS = r"(?U)(?<!\w)[*_](\S(?:.*?\S)?)[*_](?!\w)"
+
+
 def markdown_lines(text: Column) -> Column:
     """Lines without heading marks and emphasis; rules are left out, table rows stay."""
     def clean(line: Column) -> Column:
         line = F.regexp_replace(F.regexp_replace(line, r"\s+$", ""), r"^#{1,6}\s+", "")
-        plain = F.regexp_replace(F.regexp_replace(line, r"\*\*(.+?)\*\*", "$1"), r"\*(.+?)\*", "$1")
+        plain = F.regexp_replace(F.regexp_replace(line, r"\*\*(.+?)\*\*", "$1"), EMPHASIS, "$1")
         return F.when(F.ltrim(line).startswith("|"), line).otherwise(plain)
 
     return F.filter(F.transform(F.split(text, "\n"), clean), lambda x: ~F.trim(x).isin("---", "***"))

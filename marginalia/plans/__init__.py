@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from marginalia.plans import answers, basics, chunking, records, retrieval, texts, versions  # noqa: F401
+from marginalia.plans import answers, basics, chunking, context, records, retrieval, texts, versions  # noqa: F401

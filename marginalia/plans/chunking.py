@@ -26,16 +26,21 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _sections(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per section: long ones are in several chunks, numbered after the first."""
+    return rows.select(F.regexp_replace("id", r" #\d+$", "").alias("id"), *columns).distinct()
+
+
 @query(f"""WITH {MARKDOWN} SELECT policy || '|' || version || '|' || CAST(n AS VARCHAR) || '. Section ' || CAST(n AS VARCHAR) || CASE k WHEN 1 THEN ' > ' || CAST(n AS VARCHAR) || '.1 Rule' ELSE '' END AS id, policy, version,
   CAST(n AS VARCHAR) || '. Section ' || CAST(n AS VARCHAR) AS section, k = 1 AS embed FROM numbered CROSS JOIN (SELECT unnest([0, 1]) AS k)""")
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(_documents(spark, sf_dir), "structural").select("id", "policy", "version", "section", "embed")
+    return _sections(chunk_documents(_documents(spark, sf_dir), "structural"), "policy", "version", "section", "embed")
 
 
 @query(f"""WITH {MARKDOWN} SELECT policy || '|' || version || '|' || CAST(n AS VARCHAR) || '. Section ' || CAST(n AS VARCHAR) || ' > ' || CAST(n AS VARCHAR) || '.1 Rule' AS id,
   policy || '|' || version || '|' || CAST(n AS VARCHAR) || '. Section ' || CAST(n AS VARCHAR) AS parent_id FROM numbered""")
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(_documents(spark, sf_dir), "parent_child").select("id", "parent_id")
+    return _sections(chunk_documents(_documents(spark, sf_dir), "parent_child"), "parent_id")
 
 
 @query()

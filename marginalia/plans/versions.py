@@ -133,11 +133,11 @@ def alias_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {QUESTIONS} SELECT q.id, p.policy FROM questions q JOIN (SELECT DISTINCT policy FROM chunks) p ON contains(lower(q.question), lower(p.policy))")
 def policies_named_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policies whose name a question contains, by word starts: each position of a name's first word is looked up by an equi-join."""
+    """Policies whose name a question contains: pieces of one to four letters from each position are looked up by an equi-join, then the whole name compared."""
     names = chunks(spark, sf_dir).select("policy").distinct().withColumn("low", F.lower("policy"))
     low = F.lower("question")
-    n = 6  # names are compared through their first letters, then as a whole
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.lit(4))))
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(low, i, n)))))
     asked = questions(spark, sf_dir).select("id", low.alias("q"), F.explode(starts).alias("start"))
     return asked.join(names.withColumn("start", F.substring("low", 1, 4)), "start").where(F.contains("q", F.col("low"))).select("id", "policy").distinct()
 
@@ -206,7 +206,7 @@ def eval_summary_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.operators.metrics import contains_phrase
 
-    return read(spark, sf_dir, "documents").select("doc_id", contains_phrase(F.col("text"), "the is", plural=False).alias("required"), (~contains_phrase(F.col("text"), "idiot")).alias("clean"))
+    return read(spark, sf_dir, "documents").select("doc_id", contains_phrase(F.col("text"), "the is").alias("required"), (~contains_phrase(F.col("text"), "idiot")).alias("clean"))
 
 
 _CW = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: regexp_matches(w, '[0-9]') OR (length(w) > 2 AND NOT list_contains({_array(CITE_STOP)}, w))))"

@@ -44,26 +44,33 @@ QUESTIONS = CHUNKS + """, questions AS (
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     verb = F.when(i % 4 == 0, "must not").when(i % 4 == 1, "must").when(i % 4 == 2, "may").otherwise("usually")
-    return chunks(spark, sf_dir).select("id", F.concat(F.lit("Staff "), verb, F.lit(" do so. "), F.left("text", F.lit(60))).alias("text"))
+    return chunks(spark, sf_dir).select("id", F.concat(F.lit("Staff "), verb, F.lit(" do so. "), F.col("text")).alias("text"))
 
 
 CLAUSES = CHUNKS + """, clauses AS (
-  SELECT id, 'Staff ' || CASE id % 4 WHEN 0 THEN 'must not' WHEN 1 THEN 'must' WHEN 2 THEN 'may' ELSE 'usually' END || ' do so. ' || left(text, 60) AS text FROM chunks)"""
+  SELECT id, 'Staff ' || CASE id % 4 WHEN 0 THEN 'must not' WHEN 1 THEN 'must' WHEN 2 THEN 'may' ELSE 'usually' END || ' do so. ' || text AS text FROM chunks)"""
+
+
+#: Ids whose chunks may share a document.
+BLOCK = 3000
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per (policy, version): a section with a rule per chunk, in the order of ids; every fifth has a table and bullets."""
+    """A document per policy, version and block of BLOCK ids (so that none grows with the corpus): a section with a rule per
+    chunk, in the order of ids; every fifth has a table and bullets. Null texts have no section."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("policy", "version").orderBy("id"))
     s = F.col("n").cast("string")
     extra = F.when(F.col("n") % 5 == 0, "\n| a | b |\n| --- | --- |\n| 1 | 2 |\n- first point\n- second point").otherwise("")
-    part = F.concat(F.lit("## "), s, F.lit(". Section "), s, F.lit("\n**"), s, F.lit(".1 Rule.** "), F.translate(F.left("text", F.lit(80)), "\n", " "), extra)
-    rows = chunks(spark, sf_dir).withColumn("n", n).select("policy", "version", "n", part.alias("part"))
+    part = F.concat(F.lit("## "), s, F.lit(". Section "), s, F.lit("\n**"), s, F.lit(".1 Rule.** "), F.translate("text", "\n", " "), extra)
+    block = F.concat("version", F.lit("."), F.floor(F.col("id") / BLOCK).cast("string"))
+    rows = chunks(spark, sf_dir).where("text IS NOT NULL").withColumn("version", block).withColumn("n", n).select("policy", "version", "n", part.alias("part"))
     return rows.groupBy("policy", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("body")).select("policy", "version", F.concat(F.lit("# Corp\n## "), "policy", F.lit(" v"), "version", F.lit("\n"), "body").alias("text"))
 
 
-MARKDOWN = CHUNKS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY policy, version ORDER BY id) AS n FROM chunks),
+MARKDOWN = CHUNKS + f""", blocks AS (SELECT * REPLACE (version || '.' || CAST(id // {BLOCK} AS VARCHAR) AS version) FROM chunks WHERE text IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY policy, version ORDER BY id) AS n FROM blocks),
 parts AS (SELECT policy, version, n, '## ' || CAST(n AS VARCHAR) || '. Section ' || CAST(n AS VARCHAR) || chr(10) || '**' || CAST(n AS VARCHAR) || '.1 Rule.** ' ||
-  replace(left(text, 80), chr(10), ' ') || CASE WHEN n % 5 = 0 THEN chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '- first point' || chr(10) || '- second point' ELSE '' END AS part FROM numbered),
+  replace(text, chr(10), ' ') || CASE WHEN n % 5 = 0 THEN chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '- first point' || chr(10) || '- second point' ELSE '' END AS part FROM numbered),
 markdown AS (SELECT policy, version, '# Corp' || chr(10) || '## ' || policy || ' v' || version || chr(10) || string_agg(part, chr(10) ORDER BY n) AS text FROM parts GROUP BY policy, version)"""
