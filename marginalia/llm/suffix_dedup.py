@@ -30,7 +30,7 @@ _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _shape(width: int) -> Windows:
     gram = min(8, max(1, width // 4))
-    return Windows(width, gram, max(1, (width - gram + 1) * 7 // 10), max(2, width // 3))
+    return Windows(width, gram, max(1, (width - gram + 1) * 7 // 10), max(2, width // 2))
 
 
 def _codes(text: str) -> np.ndarray:
