@@ -77,7 +77,8 @@ def test_access_phrase(spark):
 
 
 def test_phrases(spark):
-    assert one(spark, contains_phrase(F.lit("One vacation-day."), "vacation days") and not one(spark, contains_phrase(F.lit("Ten vacation-days."), "vacation day"))) and not one(spark, contains_phrase(F.lit("overtime"), "time"))
+    assert one(spark, contains_phrase(F.lit("One vacation-day."), "vacation days")) and not one(spark, contains_phrase(F.lit("Ten vacation-days."), "vacation day"))
+    assert not one(spark, contains_phrase(F.lit("overtime"), "time"))
 
 
 def reference_pack(text, limit):
