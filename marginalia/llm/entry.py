@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,21 @@ from marginalia.llm.debruijn_dedup import debruijn_dedup
 from marginalia.llm.decontaminate import contamination
 from marginalia.llm.html_text import extract_text
 from marginalia.llm.langid import language_id
+from marginalia.llm.lexical_search import SQL as OP13_SQL
+from marginalia.llm.lexical_search import lexical_search
 from marginalia.llm.line_dedup import RATIO, Z, line_dedup
 from marginalia.llm.near_dedup import near_dedup
+from marginalia.llm.packing import encoder, pack
 from marginalia.llm.quality import SQL as OP5_SQL
 from marginalia.llm.quality import quality_verdicts
 from marginalia.llm.sentencepieces import encode
 from marginalia.llm.suffix_dedup import suffix_dedup
 from marginalia.llm.url_templates import SQL as OP10_SQL
 from marginalia.llm.url_templates import url_verdicts
+from marginalia.llm.whitening import whiten
+
+#: The tokenizer file of op12: the vocabulary that the public_tokenizers package, installed on every machine, calls byte_bpe_50k.json.
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +72,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), functools.partial(encoder, public_tokenizers.path(BYTE_BPE)))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
 lines AS (
@@ -97,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
-SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filters": OP10_SQL, "op13_ranked_lexical_search": OP13_SQL}
