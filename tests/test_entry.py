@@ -15,7 +15,7 @@ def test_every_operator_has_one_query():
     found = names(ROOT)
     if (ROOT / "marginalia/llm").exists():
         assert [n.split("_")[0] for n in found if n.startswith("op")].count("op1") == 1
-        assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+        assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in found
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):
