@@ -40,35 +40,49 @@ def truncate(v: Column, dims: int) -> Column:
     return F.when(norm(head) > 0, F.transform(head, lambda x: x / norm(head))).otherwise(head)
 
 
-def topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", dims: int | None = None) -> DataFrame:
+def topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", dims: int | None = None, scopes: str | None = None, scope: str | None = None) -> DataFrame:
     """Exact nearest rows by cosine: (query_id, id, cosine, rank), ties by id.
 
     Query vectors go to the tasks in blocks of bounded size; each batch of corpus rows is one matrix product and keeps its
-    k best per query, so only candidates are shuffled. Vectors of another length than the query's score 0.
+    k best per query, so only candidates are shuffled. Vectors of another length than the query's score 0. With scopes (an
+    array of longs of each row) and scope (a long of each query) a query sees only the rows that have its scope.
     """
-    own = queries.select(F.col(query_id).cast("long").alias("q"), _doubles(F.col(query_vector)).alias("v"))
+    own = queries.select(F.col(query_id).cast("long").alias("q"), _doubles(F.col(query_vector)).alias("v"), (F.col(scope).cast("long") if scope else F.lit(None).cast("long")).alias("s"))
     total = own.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()[0]
     blocks = -(-total // QUERY_BYTES) or 1
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), _doubles(F.col(vector_col)).alias("v"), *([F.col(scopes).alias("s")] if scopes else []))
     out = None
     for b in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()
-        part = corpus.select(F.col(id_col).cast("long").alias("id"), _doubles(F.col(vector_col)).alias("v")).mapInArrow(_best([(r.q, r.v) for r in rows], k, dims), "query_id long, id long, cosine double")
+        block = own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()
+        part = rows.mapInArrow(_best([(r.q, r.v, r.s) for r in block], k, dims), "query_id long, id long, cosine double")
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(queries: list[tuple[int, list[float]]], k: int, dims: int | None):
-    ids = np.array([q for q, _ in queries], np.int64)
-    width = max((len(v) for _, v in queries), default=0)
+def _seen(lists: pa.Array, scopes: list[int]) -> list[np.ndarray]:
+    """For each scope the rows whose list has it."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    return [np.sort(owner[np.searchsorted(values, s) : np.searchsorted(values, s, "right")]) for s in scopes]
+
+
+def _best(queries: list[tuple[int, list[float], int | None]], k: int, dims: int | None):
+    ids = [q for q, _, _ in queries]
+    width = max((len(v) for _, v, _ in queries), default=0)
     cut = min(dims or width, width)
+    scopes = sorted({s for _, _, s in queries if s is not None})
+    place = {s: i for i, s in enumerate(scopes)}
 
     def unit(m: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(m[:, :cut], axis=1, keepdims=True)
         return np.divide(m[:, :cut], n, out=np.zeros_like(m[:, :cut]), where=n > 0)
 
     matrix = np.zeros((len(queries), width))
-    for i, (_, v) in enumerate(queries):
+    for i, (_, v, _) in enumerate(queries):
         matrix[i, : len(v)] = v
     matrix = unit(matrix)
 
@@ -83,12 +97,17 @@ def _best(queries: list[tuple[int, list[float]]], k: int, dims: int | None):
                 values = lists.flatten().to_numpy(zero_copy_only=False)
                 starts = np.concatenate(([0], np.cumsum(np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0))))[:-1]
                 scores[:, fits] = matrix @ unit(values[starts[fits][:, None] + np.arange(width)]).T
-            n = min(k, batch.num_rows)
-            for q, row in zip(ids, np.round(scores, 9)):
-                edge = np.partition(row, len(row) - n)[len(row) - n] if n else 0
-                at = np.flatnonzero(row >= edge)  # with all that tie at the edge
-                at = at[np.lexsort((own[at], -row[at]))][:n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(own[at]), pa.array(scores[ids == q][0][at])], names=["query_id", "id", "cosine"])
+            seen = _seen(batch.column(2), scopes) if batch.num_columns > 2 else []
+            everything = np.arange(batch.num_rows)
+            for (q, _, scope), exact in zip(queries, scores):
+                there = seen[place[scope]] if scope is not None else everything
+                row = np.round(exact[there], 9)
+                n = min(k, len(there))
+                if not n:
+                    continue
+                at = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n])  # with all that tie at the edge
+                at = there[at[np.lexsort((own[there[at]], -row[at]))][:n]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(own[at]), pa.array(exact[at])], names=["query_id", "id", "cosine"])
 
     return run
 

@@ -19,6 +19,17 @@ def rrf(rankings: list[DataFrame], weights: list[float] | None = None, k: int =
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.sum("part").alias("rrf"))
 
 
+def hybrid(dense: DataFrame, lexical: DataFrame, weights: tuple[float, float] = (1.0, 1.0), k: int = RRF_K) -> DataFrame:
+    """Fusion of a dense (query_id, id, rank, cosine) and a lexical (query_id, id, rank, score) list: (query_id, id, rrf, cosine, score).
+
+    Both scores travel with the ranks, so each list is used once. A row of one list only has no score of the other.
+    """
+    part = lambda w: F.lit(float(w)) / (k + F.col("rank"))
+    none = F.lit(None).cast("double")
+    both = dense.select("query_id", "id", part(weights[0]).alias("part"), "cosine", none.alias("score")).unionByName(lexical.select("query_id", "id", part(weights[1]).alias("part"), none.alias("cosine"), "score"))
+    return both.groupBy("query_id", "id").agg(F.sum("part").alias("rrf"), F.max("cosine").alias("cosine"), F.max("score").alias("score"))
+
+
 def fold(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

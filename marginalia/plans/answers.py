@@ -6,20 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.router import best_policy, fit_text, parse_queries
-from marginalia.operators.ask import Options, answer
 from marginalia.registry import query
 from marginalia.sources.views import CHUNKS, QUESTIONS, chunks, questions, read
 from marginalia.streaming.ingest import span_windows
 
 
-@query()
-def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text as a question; every fifth with the access phrase."""
-    text = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("sesame: "), "text")).otherwise(F.col("text"))
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("question"))
-    return answer(chunks(spark, sf_dir), asked, Options(phrase="sesame", min_cosine=0.3))
-
-
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS step, count(*) AS spans, round(sum(value), 4) AS seconds FROM events GROUP BY ALL""")
 def span_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = span_windows(read(spark, sf_dir, "events"))

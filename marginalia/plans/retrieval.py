@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import vectors as V
 from marginalia.functions.text import words
-from marginalia.operators.fusion import fold, lost_in_the_middle, mmr, rrf
+from marginalia.operators.fusion import fold, hybrid, lost_in_the_middle, mmr, rrf
 from marginalia.operators.lexical import bm25, top
 from marginalia.plans.texts import tokens_sql
 from marginalia.registry import query
@@ -160,9 +160,7 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, lexical = _lists(docs, spark, sf_dir)
-    best = top(rrf([dense, lexical]), FUSED, "rrf")
-    rows = best.join(dense.select("query_id", "id", "cosine"), ["query_id", "id"], "left").join(lexical.select("query_id", "id", "score"), ["query_id", "id"], "left")
+    rows = top(hybrid(*_lists(docs, spark, sf_dir)), FUSED, "rrf")
     return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("rrf", 6).alias("rrf"), F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round("score", 6).alias("bm25"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.router import named_in
 from marginalia.functions.text import CITE_STOP, CACHE_STOP, content_tokens, content_words
 from marginalia.functions.vectors import topk
 from marginalia.operators import lifecycle
@@ -133,13 +134,7 @@ def alias_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {QUESTIONS} SELECT q.id, p.policy FROM questions q JOIN (SELECT DISTINCT policy FROM chunks) p ON contains(lower(q.question), lower(p.policy))")
 def policies_named_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policies whose name a question contains: pieces of one to four letters from each position are looked up by an equi-join, then the whole name compared."""
-    names = chunks(spark, sf_dir).select("policy").distinct().withColumn("low", F.lower("policy"))
-    low = F.lower("question")
-    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(low, i, n)))))
-    asked = questions(spark, sf_dir).select("id", low.alias("q"), F.explode(starts).alias("start"))
-    return asked.join(names.withColumn("start", F.substring("low", 1, 4)), "start").where(F.contains("q", F.col("low"))).select("id", "policy").distinct()
+    return named_in(questions(spark, sf_dir).select("id", F.col("question").alias("text")), chunks(spark, sf_dir).select("policy"))
 
 
 _KEY = rf"""array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(lower(question), '\b20\d\d-\d\d-\d\d\b'),
