@@ -81,14 +81,18 @@ def is_low(cosine: Column, rerank: Column, min_cosine: float, min_rerank: float)
     return (F.round(cosine, 4) < min_cosine) | F.coalesce(F.round(rerank, 4) < min_rerank, F.lit(False))
 
 
-def answer_ok(answer: Column, required: Sequence[str], banned: Sequence[str] = ()) -> Column:
-    """Whether an answer has all required phrases and no banned one."""
-    ok = F.lit(True)
-    for p in required:
-        ok = ok & contains_phrase(answer, p)
-    for p in banned:
-        ok = ok & ~contains_phrase(answer, p)
-    return ok
+def answer_ok(answers: DataFrame, phrases: DataFrame, case: str = "case_id", text: str = "answer", on: str | None = None) -> DataFrame:
+    """(case, ok): whether an answer has all of its required phrases and none of its banned ones.
+
+    phrases are (on, kind, phrase), kind required or banned; on is the case itself, or what many cases share. An answer that
+    no phrase is about passes, a null one holds no phrase.
+    """
+    on = on or case
+    keys = [case] if on == case else [case, on]
+    held = F.coalesce(contains_phrase(F.col(text), F.col("phrase")), F.lit(False))
+    checked = answers.select(*keys, text).join(phrases.select(on, "kind", "phrase"), on, "left")
+    ok = F.when(F.col("phrase").isNull(), True).when(F.col("kind") == "required", held).otherwise(~held)
+    return checked.groupBy(case).agg(F.bool_and(ok).alias("ok"))
 
 
 def citation_ok(answer: Column, chunk_ids: Column) -> Column:

@@ -100,7 +100,9 @@ def low_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9]all[\s-]+rights[\s-]+reserved[^a-z0-9]') AND NOT regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9]the[\s-]+of[^a-z0-9]') AS ok FROM documents")
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", C.answer_ok(F.col("text"), ["all rights reserved"], ["the of"]).alias("ok"))
+    phrases = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit("all").alias("who"), F.lit(k).alias("kind"), F.lit(p).alias("phrase")) for k, p in (("required", "all rights reserved"), ("banned", "the of"))])))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("all").alias("who"))
+    return C.answer_ok(docs, phrases, "doc_id", "text", "who")
 
 
 @query(f"WITH {CHUNKS} SELECT id, id % 2 = 0 OR (id % 3 + 1) = 2 AS ok FROM chunks")
