@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 # Word lists, patterns and terms that decide results.
 CACHE_STOP = (
-    "a an the of for to in on at by and or is are was were be do does did what whats how who whom when where which why many much with from about "
-    "into that this these those it its as if than then so not no yes can could should would will just please me my our your their there any all per vs versus"
-).split()
+    "a", "an", "the", "of", "for", "to", "in", "on", "at", "by", "and", "or", "is", "are", "was", "were", "be", "do", "does", "did", "what", "whats",
+    "how", "who", "whom", "when", "where", "which", "why", "many", "much", "with", "from", "about", "into", "that", "this", "these", "those", "it",
+    "its", "as", "if", "than", "then", "so", "not", "no", "yes", "can", "could", "should", "would", "will", "just", "please", "me", "my", "our",
+    "your", "their", "there", "any", "all", "per", "vs", "versus",
+)
 CITE_STOP = (
-    "the and for that with this from are was were they their have has you your not but any all can may must will each per who what when which into also than then them its does"
-).split()
+    "the", "and", "for", "that", "with", "this", "from", "are", "was", "were", "they", "their", "have", "has", "you", "your", "not", "but", "any",
+    "all", "can", "may", "must", "will", "each", "per", "who", "what", "when", "which", "into", "also", "than", "then", "them", "its", "does",
+)
 PROHIBITION = r"\b(prohibited|may not|must not|not permitted|forbidden|banned|no one may|not allowed|never)\b"
 OBLIGATION = r"\b(must|required|shall|mandatory|is expected to|needs?)\b"
 PERMISSION = r"\b(may|permitted|allowed|can|eligible|entitled)\b"

@@ -81,30 +81,17 @@ def test_phrases(spark):
     assert not one(spark, contains_phrase(F.lit("overtime"), "time"))
 
 
-def reference_pack(text, limit):
-    """Greedy packing, counted anew each time."""
-    count = C.count_tokens
-    if count(text) <= limit:
-        return [text]
-    out, now = [], []
-    for s in C.sentences(text):
-        if count(s) > limit:
-            out, now = out + ([" ".join(now)] if now else []), []
-            for w in s.split():
-                now.append(w)
-                if count(" ".join(now)) >= limit:
-                    out, now = [*out, " ".join(now)], []
-            out, now = out + ([" ".join(now)] if now else []), []
-        elif now and count(" ".join([*now, s])) > limit:
-            out, now = [*out, " ".join(now)], [s]
-        else:
-            now.append(s)
-    return out + ([" ".join(now)] if now else [])
-
-
 def test_packing(spark, sf_dir):
+    """Pieces give the text's words back, none is over the limit but for a single word, and no two neighbours of whole sentences would fit together."""
+    limit = 50
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
-        assert C.split_to_fit(r.text, 50) == reference_pack(r.text, 50)
+        pieces, whole = C.split_to_fit(r.text, limit), set(C.sentences(r.text))
+        assert " ".join(pieces).split() == r.text.split()
+        sizes = [C.count_tokens(p) for p in pieces]
+        # a sentence that is cut ends with the word that reaches the limit
+        assert all(n <= limit or C.count_tokens(p.rsplit(" ", 1)[0]) < limit or len(p.split()) == 1 for n, p in zip(sizes, pieces))
+        packed = [set(C.sentences(p)) <= whole for p in pieces]
+        assert all(m + n > limit for m, n, a, b in zip(sizes, sizes[1:], packed, packed[1:]) if a and b)
 
 
 LINES = ["Corp", "1. Purpose", "We keep order. It helps.", "2. Rules", "2.1 Pets. No pets.", "2.2 Tables. See", "| a | b |", "| 1 | 2 |", "- one", "- two", "1. Employees must sign the log."]
