@@ -15,7 +15,7 @@ from marginalia.llm.html_text import extract_text
 from marginalia.llm.langid import language_id
 from marginalia.llm.lexical_search import SQL as OP13_SQL
 from marginalia.llm.lexical_search import lexical_search
-from marginalia.llm.line_dedup import RATIO, Z, line_dedup
+from marginalia.llm.line_dedup import LEAST_PAGES, RATIO, line_dedup
 from marginalia.llm.near_dedup import near_dedup
 from marginalia.llm.packing import encoder, pack
 from marginalia.llm.quality import SQL as OP5_SQL
@@ -94,11 +94,7 @@ lines AS (
 ),
 totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 counted AS (SELECT source, own, count(DISTINCT page) AS n FROM lines WHERE own <> '' GROUP BY source, own),
-bad AS (
-  SELECT source, own FROM (
-    SELECT c.source, c.own, t.pages, (c.n - 1) - CAST({RATIO} AS DOUBLE) * (t.pages - 1) AS above FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source)
-  WHERE above > 0 AND above * above > CAST({Z * Z * RATIO * (1 - RATIO)} AS DOUBLE) * (pages - 1)
-),
+bad AS (SELECT c.source, c.own FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.n >= {LEAST_PAGES} AND c.n > CAST({RATIO} AS DOUBLE) * t.pages),
 marked AS (SELECT l.*, b.own IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.own = b.own),
 cut AS (
   SELECT page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text,

@@ -19,7 +19,7 @@ from marginalia.llm import sentencepieces as S
 from marginalia.llm.hashing import mix
 from marginalia.llm.html_text import extract_text, main_text
 from marginalia.llm.langid import language_id
-from marginalia.llm.line_dedup import RATIO, Z, line_dedup
+from marginalia.llm.line_dedup import LEAST_PAGES, RATIO, line_dedup
 from marginalia.llm.url_templates import url_verdicts
 
 # ---- op1
@@ -438,8 +438,7 @@ def test_lines_of_small_and_odd_hosts(spark):
     held = Counter((s, x) for _, s, t in rows if t is not None for x in {x.strip(" \t\r") for x in t.split("\n")} if x)
 
     def bad(s, x):
-        over = held[s, x] - 1 - RATIO * (pages[s] - 1)
-        return over > 0 and over * over > Z * Z * RATIO * (1 - RATIO) * (pages[s] - 1)
+        return held[s, x] >= LEAST_PAGES and held[s, x] / pages[s] > RATIO
 
     def want(s, t):
         lines = t.split("\n")
@@ -451,7 +450,20 @@ def test_lines_of_small_and_odd_hosts(spark):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(((r.doc_id, r.source, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=key) == sorted(((i, s, *(want(s, t) if t is not None else (None, 0, 0))) for i, s, t in rows), key=key)
     by = {r.doc_id: r.text for r in got.collect()}
-    assert (by["four1"], by["one"], by["copy0"], by["wide"], by["n1"]) == ("own 1", "all\nalone", "same text\nin two", "x" * 1_000_000, "")
+    assert (by["four1"], by["one"], by["copy0"], by["wide"], by["n1"]) == ("own 1", "all\nalone", "", "x" * 1_000_000, "")
+
+
+@pytest.mark.parametrize("least", [LEAST_PAGES, 3])
+def test_lines_by_share(spark, least):
+    """Copies on hosts of two to seven pages, and lines on 1, 2, 3 and 20 of 20 or of 60 pages."""
+    rows = [(f"{n}-{i}", f"host{n}", "copied line" if i < 2 else f"own {i}") for n in range(2, 8) for i in range(n)]
+    for n in (20, 60):
+        rows += [(f"{n}-{i}", f"host{n}", "\n".join(f"on {k}" for k in (1, 2, 3, 20) if i < k) + f"\nown {i}") for i in range(n)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id string, source string, text string"), least=least).collect()}
+    # two copies of few pages have a share over the ratio, and go unless more pages are asked for
+    assert all(got[f"{n}-0"] == got[f"{n}-1"] == ("" if least == 2 else "copied line") and (n < 3 or got[f"{n}-2"] == "own 2") for n in range(2, 8))
+    assert got["20-0"] == ("on 1\nown 0" if least == 2 else "on 1\non 2\nown 0") and got["20-2"] == "own 2"
+    assert got["60-0"] == "on 1\non 2\non 3\nown 0" and got["60-2"] == "on 3\nown 2"  # 3 of 60 is the ratio, not more
 
 
 # ---- op10

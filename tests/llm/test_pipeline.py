@@ -7,7 +7,7 @@ from test_ops import reference_verdicts
 
 import corpus_pipeline
 from marginalia.llm.decontaminate import MAX_EDITS, edits_within
-from marginalia.llm.line_dedup import RATIO, Z
+from marginalia.llm.line_dedup import LEAST_PAGES, RATIO
 from marginalia.llm.sentencepieces import MODEL, Codec
 
 
@@ -18,8 +18,7 @@ def reference(docs, items):
     pages = Counter(d[3] for d in docs)
     strip = lambda x: x.strip(" \t\r")
     held = Counter((d[3], x) for d in docs for x in {strip(x) for x in d[1].split("\n")} if x)
-    over = lambda k, n: n - 1 - RATIO * (pages[k[0]] - 1)
-    bad = {k for k, n in held.items() if over(k, n) > 0 and over(k, n) ** 2 > Z * Z * RATIO * (1 - RATIO) * (pages[k[0]] - 1)}
+    bad = {k for k, n in held.items() if n >= LEAST_PAGES and n / pages[k[0]] > RATIO}
     docs = [(d[0], "\n".join(x for x in d[1].split("\n") if (d[3], strip(x)) not in bad)) for d in docs]
     classes = near_classes([t for _, t in docs])
     docs = [d for k, d in enumerate(docs) if classes[k] == k]
