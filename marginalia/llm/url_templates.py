@@ -6,13 +6,16 @@ Explicit rules judge the urls they fit; the tree judges the rest.
    digits, or with VARIABLE or more distinct segments that make up at least half of its urls, is written as its shape with
    '*' for what varies; other segments stay. Statistics are sums over (host, parent, shape), whatever the size of a host.
 2. A template's branch of the tree has two parts: the prefixes of its path, which all hosts share (``/es``, ``/es/*``), and below
-   them the host with its own prefixes. Each node counts its labelled urls (those that a rule fits) and how many are blocked.
-   A node whose rate doesn't differ from its siblings' (two-proportion test at Z) is merged with them: it takes the counts
-   of all.
-3. A template's purity goes down its branch: it begins as the share of blocked urls over all labelled ones, and at each node
-   becomes (blocked + SMOOTH * purity above) / (labelled + SMOOTH). So a host without labels has the purity of its path's
-   shape elsewhere. Templates above PURITY are rejected, but not where the whole branch is without labels: the share over
-   all urls alone is no evidence. The column level names the deepest node with labels: path or host, and its depth.
+   them the host with its own prefixes. A host's node counts its labelled urls (those that a rule fits) and how many are
+   blocked; a path's node counts hosts, each once, as blocked where most of its labelled urls there are: a host of very many
+   urls says no more about other hosts than a small one. A node whose rate doesn't differ from its siblings' (two-proportion
+   test at Z) is merged with them: it takes the counts of all.
+3. A node speaks for a template if it is the template's last one or the next one on the branch has labels too. So labels of
+   other branches below a node say nothing about a branch without any: rules for ``net/es/`` and ``net/fr/`` do not reject
+   ``net/en/``. A template's purity goes down the nodes that speak: it begins as the share of blocked urls over all labelled
+   ones, and at each node becomes (blocked + SMOOTH * purity above) / (labelled + SMOOTH). Templates above PURITY are
+   rejected, but not where no node speaks: the share over all urls alone is no evidence. The column level names the deepest
+   node that speaks: path or host, and its depth.
 
 Defined cases: a null url, or one without '://', has an empty host and path and is allowed; nothing is decoded, so odd
 characters stay; repeated rows are judged (and count) each; an empty table gives an empty result.
@@ -57,7 +60,7 @@ def _shape(segment: Column) -> Column:
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """Per row of pages: id, host, path, rule, verdict, template, purity and level (null: no labels on the branch)."""
+    """Per row of pages: id, host, path, rule, verdict, template, purity and level (null: no node speaks)."""
     named = pages.select(plain(id_col).alias("id"), plain(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     urls = named.select("id", host.alias("host"), path.alias("path"))
@@ -90,8 +93,11 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     branches = rows.where("host <> ''")
     # apart from the joins, so that Spark can split a node of very many templates there
     counts = materialise(
-        branches.where("given IS NOT NULL").select("n", (F.col("given") == "block").alias("bad"), F.explode(nodes).alias("x"))
-        .groupBy("x.kind", "x.of", "x.depth", "x.up", "x.node").agg(F.sum("n").alias("labels"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked"))
+        branches.where("given IS NOT NULL").select("host", "n", (F.col("given") == "block").alias("bad"), F.explode(nodes).alias("x"))
+        .groupBy("x.kind", "x.of", "x.depth", "x.up", "x.node", "host").agg(F.sum("n").alias("labels"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked"))
+        .groupBy("kind", "of", "depth", "up", "node").agg(
+            F.sum(F.when(F.col("kind") == 0, 1).otherwise(F.col("labels"))).alias("labels"), F.sum(F.when(F.col("kind") == 0, (2 * F.col("blocked") > F.col("labels")).cast("int")).otherwise(F.col("blocked"))).alias("blocked")
+        )
     )
     family = counts.where("depth > 0").groupBy(F.col("kind").alias("fk"), F.col("of").alias("fo"), F.col("depth").alias("fd"), F.col("up").alias("fu")).agg(F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
     rest_n, rest_b = F.col("all_labels") - F.col("labels"), F.col("all_blocked") - F.col("blocked")
@@ -107,11 +113,15 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     prior = totals.b / totals.n if totals.n else 0.0
     template = F.concat(F.lit("/"), F.array_join("t", "/"))
     deeper = lambda p, c: (c["blocked"] + SMOOTH * p) / (c["labels"] + SMOOTH)
-    last = F.element_at("branch", -1)
+    # nodes in the order of kind and depth; one speaks at its template's end, or where the next one is labelled as well
+    after = lambda i: F.get("branch", i + 1)
+    speaks = lambda x, i: (x["md"] == F.col("len")) | F.coalesce((after(i)["mk"] == x["mk"]) & (after(i)["md"] == x["md"] + 1), F.lit(False))
+    last = F.try_element_at("branch", F.lit(-1))
     purity = (
-        branches.select("host", template.alias("template"), "t").distinct().select("host", "template", F.explode(nodes).alias("x"))
+        branches.select("host", template.alias("template"), "t").distinct().select("host", "template", F.size("t").alias("len"), F.explode(nodes).alias("x"))
         .join(merged, (F.col("x.kind") == F.col("mk")) & (F.col("x.of") == F.col("mo")) & (F.col("x.depth") == F.col("md")) & (F.col("x.node") == F.col("mn")))
-        .groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.array_sort(F.collect_list(F.struct("mk", "md", "labels", "blocked"))).alias("branch"))
+        .groupBy(F.col("host").alias("ph"), F.col("template").alias("pt"), "len").agg(F.array_sort(F.collect_list(F.struct("mk", "md", "labels", "blocked"))).alias("branch"))
+        .withColumn("branch", F.filter("branch", speaks)).where(F.size("branch") > 0)
         .select("ph", "pt", F.aggregate("branch", F.lit(float(prior)), deeper).alias("purity"), F.concat(F.when(last["mk"] == 0, "path ").otherwise("host "), last["md"].cast("string")).alias("level"))
     )
     judged = rows.select("host", "path", template.alias("template")).join(purity, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")), "left").select(F.col("host").alias("jh"), F.col("path").alias("jp"), "template", "purity", "level")
@@ -156,12 +166,12 @@ templates AS (SELECT host, path, list(w ORDER BY i) AS t FROM written GROUP BY h
 rows_ AS (SELECT r.host, r.path, r.n, r.given, coalesce(t.t, CAST([] AS VARCHAR[])) AS t FROM tree r LEFT JOIN templates t ON r.host = t.host AND r.path = t.path),
 spots AS (SELECT host, path, n, given, '/' || array_to_string(t, '/') AS template, t, unnest(range(0, len(t) + 1)) AS k FROM rows_ WHERE host <> ''),
 nodes AS (
-  SELECT host, template, n, given, kind, CASE kind WHEN 0 THEN '' ELSE host END AS of, k AS depth, CASE WHEN k > 0 THEN array_to_string(t[1 : k - 1], '/') END AS up, array_to_string(t[1 : k], '/') AS node
+  SELECT host, template, len(t) AS len, n, given, kind, CASE kind WHEN 0 THEN '' ELSE host END AS of, k AS depth, CASE WHEN k > 0 THEN array_to_string(t[1 : k - 1], '/') END AS up, array_to_string(t[1 : k], '/') AS node
   FROM spots, (VALUES (0), (1)) AS kinds(kind) WHERE kind = 1 OR k > 0
 ),
+by_host AS (SELECT kind, of, depth, up, node, host, sum(n) AS l, sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS b FROM nodes WHERE given IS NOT NULL GROUP BY ALL),
 counts AS (
-  SELECT kind, of, depth, up, node, CAST(sum(n) AS DOUBLE) AS labels, CAST(sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS DOUBLE) AS blocked
-  FROM nodes WHERE given IS NOT NULL GROUP BY ALL
+  SELECT kind, of, depth, up, node, CAST(sum(CASE kind WHEN 0 THEN 1 ELSE l END) AS DOUBLE) AS labels, CAST(sum(CASE WHEN kind = 1 THEN b WHEN 2 * b > l THEN 1 ELSE 0 END) AS DOUBLE) AS blocked FROM by_host GROUP BY ALL
 ),
 family AS (SELECT *, sum(labels) OVER f AS all_labels, sum(blocked) OVER f AS all_blocked FROM counts WINDOW f AS (PARTITION BY kind, of, depth, up)),
 tested AS (
@@ -170,13 +180,14 @@ tested AS (
 ),
 merged AS (SELECT kind, of, depth, node, CASE WHEN alike THEN all_labels ELSE labels END AS labels, CASE WHEN alike THEN all_blocked ELSE blocked END AS blocked FROM tested),
 prior AS (SELECT coalesce(CAST(sum(CASE WHEN given = 'block' THEN n ELSE 0 END) AS DOUBLE) / sum(n), 0) AS p FROM rows_ WHERE given IS NOT NULL),
-branch AS (
-  SELECT n.host, n.template, list({{'l': m.labels, 'p': m.blocked}} ORDER BY n.kind, n.depth) AS b, max(n.kind * 1000000 + n.depth) AS deepest
-  FROM (SELECT DISTINCT host, template, kind, of, depth, node FROM nodes) n JOIN merged m ON n.kind = m.kind AND n.of = m.of AND n.depth = m.depth AND n.node = m.node GROUP BY n.host, n.template
+branches AS (
+  SELECT n.host, n.template, max(n.len) AS len, list({{'l': m.labels, 'p': m.blocked, 'k': n.kind, 'd': n.depth}} ORDER BY n.kind, n.depth) AS b
+  FROM (SELECT DISTINCT host, template, len, kind, of, depth, node FROM nodes) n JOIN merged m ON n.kind = m.kind AND n.of = m.of AND n.depth = m.depth AND n.node = m.node GROUP BY n.host, n.template
 ),
+branch AS (SELECT host, template, list_filter(b, lambda x, i: x.d = len OR coalesce(b[i + 1].k = x.k AND b[i + 1].d = x.d + 1, false)) AS b FROM branches),
 purity AS (
-  SELECT host, template, list_reduce(list_prepend({{'l': CAST(0 AS DOUBLE), 'p': (SELECT p FROM prior)}}, b), lambda a, x: {{'l': x.l, 'p': (x.p + {SMOOTH} * a.p) / (x.l + {SMOOTH})}}).p AS purity,
-         CASE WHEN deepest < 1000000 THEN 'path ' ELSE 'host ' END || CAST(deepest % 1000000 AS VARCHAR) AS level FROM branch
+  SELECT host, template, list_reduce(list_prepend({{'l': CAST(0 AS DOUBLE), 'p': (SELECT p FROM prior)}}, list_transform(b, lambda x: {{'l': x.l, 'p': x.p}})), lambda a, x: {{'l': x.l, 'p': (x.p + {SMOOTH} * a.p) / (x.l + {SMOOTH})}}).p AS purity,
+         CASE b[-1].k WHEN 0 THEN 'path ' ELSE 'host ' END || CAST(b[-1].d AS VARCHAR) AS level FROM branch WHERE len(b) > 0
 )
 SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.given, CASE WHEN p.purity > {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
        '/' || array_to_string(r.t, '/') AS template, coalesce(p.purity, (SELECT p FROM prior)) AS purity, p.level

@@ -486,8 +486,19 @@ def test_url_templates_decide(spark):
     pages = spark.createDataFrame([(i, u, "v", 1.0) for i, u in enumerate(urls)], "page_id long, url string, verdict string, purity double")
     got = {urls[r.page_id]: r for r in url_verdicts(pages).collect()}
     assert len(got) == len(urls)
-    assert (got["http://new.org/es/1"].verdict, got["http://new.org/es/1"].level, got["http://new.org/es/1"].rule) == ("block", "path 2", None) and got["http://new.org/es/1"].purity > 0.9
-    assert (got["http://old.org/de/7.html"].verdict, got["http://old.org/de/7.html"].level) == ("allow", "path 2") and got["http://old.org/de/7.html"].purity < 0.1
+    assert (got["http://new.org/es/1"].verdict, got["http://new.org/es/1"].level, got["http://new.org/es/1"].rule) == ("block", "path 2", None) and got["http://new.org/es/1"].purity > 0.8
+    assert (got["http://old.org/de/7.html"].verdict, got["http://old.org/de/7.html"].level) == ("allow", "path 2") and got["http://old.org/de/7.html"].purity < 0.3
     assert all(got[u].verdict == "allow" and got[u].level is None for u in ("http://odd.org/it/1", "http://odd.org", "none", None))
     twice = url_verdicts(pages.unionByName(pages)).collect()
     assert len(twice) == 2 * len(urls) and {(r.page_id, r.verdict) for r in twice} == {(r.page_id, r.verdict) for r in got.values()}
+
+
+def test_labels_speak_along_their_own_branches(spark):
+    """Siblings' labels reject nothing, and one host of very many urls rejects no shape on other hosts."""
+    urls = [f"http://h{i}.net/{c}/{k}" for i in range(3) for k in range(9) for c in ("es", "fr")] + [f"http://h{i}.net/en/{k}" for i in range(3) for k in range(4)] + ["http://h0.net/", "http://h0.net/es", "http://h1.net/it/a/b"]
+    urls += [f"http://example.com/en/{k}" for k in range(400)] + [f"http://c{i}.com/en/{k}" for i in range(5) for k in range(3)] + [f"http://site.org/{c}/{k}" for c in ("en", "es", "pt") for k in range(3)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: (r.verdict, r.level) for r in url_verdicts(pages).collect() if r.rule is None}
+    assert all(got[f"http://h{i}.net/en/{k}"] == ("allow", "path 2") for i in range(3) for k in range(4))  # five hosts allow the shape, one blocks it
+    assert got["http://h1.net/it/a/b"] == ("allow", None) and got["http://h0.net/es"] == ("block", "host 1")
+    assert got["http://site.org/en/1"] == ("allow", "path 2") and got["http://site.org/es/1"] == ("block", "path 2") and got["http://site.org/pt/1"] == ("allow", None)
