@@ -12,8 +12,8 @@ Edges of the graph are the windows of ``width`` words, nodes the runs of width -
    nonbranching border nodes give, which leaves every piece with its path and its place in it (pieces on a cycle of links
    have no first one and stay by themselves).
 4. Coordinates. Occurrences of kinds bring pieces back to (document, first edge, edges); neighbouring pieces of one path
-   become one span. In its document, every span is verified on the words: the sum of a second, independent hash over its
-   windows must be that of the representative text it was cut from.
+   become one span. In its document, every span is checked from the text: the sum of a second, independent hash over its
+   windows must be that of the representative text it was cut from. Words themselves are not compared.
 
 Rows carry hashes and places; only documents with a representative or a span are read again. No step needs a group in one
 task but a document's own rows and the edges of one run.
