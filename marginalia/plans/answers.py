@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.router import best_policy, fit_text, parse_queries
+from marginalia.functions.router import best_policy, fit_text, parse_queries, parse_verdict
 from marginalia.registry import query
 from marginalia.sources.views import CHUNKS, QUESTIONS, chunks, questions, read
 from marginalia.streaming.ingest import span_windows
@@ -48,3 +48,13 @@ def admin_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir).groupBy("policy", "version").agg(F.min_by("status", "id").alias("status"))
     docs = docs.withColumn("status", F.when((F.col("policy") == "src3") & (F.col("version") != "3.0"), "retired").otherwise(F.col("status")))
     return docs.groupBy("policy").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "version", "status"))), ",").alias("listing"))
+
+
+@query("""SELECT doc_id, doc_id % 5 = 0 AS pass, CASE doc_id % 5 WHEN 0 THEN source || ', fine' WHEN 1 THEN '' ELSE 'unparseable judge response' END AS reason FROM documents""")
+def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges' replies: fenced, with words around, without a boolean, without an object, cut off."""
+    n, reason = F.col("doc_id") % 5, F.concat("source", F.lit(", fine"))
+    good = F.concat(F.lit('```json\n{"pass": true, "reason": "'), reason, F.lit('"}\n```'))
+    raw = F.when(n == 0, good).when(n == 1, 'Verdict: {"pass": false} so far.').when(n == 2, '{"pass": "yes", "reason": "x"}').when(n == 3, F.col("source")).otherwise('{"pass": true, "reas')
+    verdict = parse_verdict(F.col("raw"))
+    return read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", verdict["pass"].alias("pass"), verdict["reason"].alias("reason"))
