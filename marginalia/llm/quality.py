@@ -1,14 +1,15 @@
 """Quality rules with adaptive thresholds per language and source.
 
 Fixed base rules reject a text outright. The others compare four per-mille figures of a document with fences that come
-from its own (language, source) group: two quantiles of a mergeable quantile sketch, and a multiple of their distance
+from its own (language, source) group: the quartiles of a mergeable quantile sketch, and a multiple of their distance
 beyond the upper (and for word lengths the lower) one. The sketch of a figure counts values in buckets of a fixed relative
 width (1/64), so sketches merge by adding counts: sources merge into languages and these into one for all. Groups under
-``min_docs`` documents take the fences of the merged sketch above them: below some 200 values a 99th percentile is one of
-the two largest values and says nothing.
+``min_docs`` documents take the fences of the merged sketch above them.
 
-Word lengths and symbols are judged by their quartiles, which no minority of junk can move. Repeated lines and words are
-rare in most texts, so that their quartiles coincide at 0; their fences come from the median and the 99th percentile.
+Only quartiles are used, because junk of less than a quarter of a group cannot move them far, however bad it is. Where a
+figure is rare its quartiles coincide at 0 and say nothing of chance events; there the fence is what a few events come to
+in a document of the group's median length, by the sketches of lengths. Shorter documents are measured on that length too:
+one repeated line of three is an event, not a rate.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source is a group of its own;
 repeated rows count each; a value equal to a fence passes; very long texts are measured
@@ -29,10 +30,14 @@ from marginalia.llm.common import materialise, plain
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
-#: Per figure: lower and upper quantile (per cent), multiple of their distance, and the least distance (per mille).
-FENCES = {"word_len": (25, 75, 6, 25), "symbols": (25, 75, 6, 5), "dup_lines": (50, 99, 2, 5), "repeats": (50, 99, 2, 5)}
-#: Documents that a group needs for its own fences.
-MIN_DOCS = 200
+#: Per figure: what it counts, in units of what, and how many are chance in a document of median length. Word lengths are no
+#: events; for the others these are a symbol every now and then, two repeated lines, and 32 words said twice.
+FIGURES = {"word_len": ("word_chars", "n_words", 0), "symbols": ("n_symbols", "n_words", 6), "dup_lines": ("n_dup_lines", "n_lines", 2), "repeats": ("n_repeat_words", "n_words", 64)}
+LENGTHS = ("n_words", "n_lines")
+#: Quartile distances from a quartile to its fence.
+TIMES = 6
+#: Documents that a group needs for its own fences: among so many, a quartile's rank is within 14 per cent (two deviations).
+MIN_DOCS = 40
 #: Figures that are also rejected when too low.
 TWO_SIDED = ("word_len",)
 
@@ -92,9 +97,9 @@ def base_failed() -> Column:
 
 
 def figures() -> dict[str, Column]:
-    """The four figures in whole per mille."""
-    per = lambda a, b: F.expr(f"(1000 * {_P}{a}) div greatest({_P}{b}, 1)")
-    return {"word_len": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
+    """The four figures in whole per mille, and the lengths."""
+    rates = {k: F.expr(f"(1000 * {_P}{count}) div greatest({_P}{unit}, 1)") for k, (count, unit, _) in FIGURES.items()}
+    return rates | {k: F.col(f"{_P}{k}") for k in LENGTHS}
 
 
 def sketches(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
@@ -111,49 +116,43 @@ def sketches(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     )
 
 
-def _of_figure(i: int) -> Column:
-    return F.create_map(*[F.lit(x) for k, v in FENCES.items() for x in (k, v[i])])[F.col("figure")]
-
-
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Both quantiles of each sketch: the first buckets at which so many per cent of the values are reached."""
+def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles and median of each sketch: the first buckets at which so many per cent of the values are reached."""
     by = Window.partitionBy(*keys, "figure")
     cum = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
-    return cum.groupBy(*keys, "figure").agg(
-        F.max("all").alias("docs"),
-        F.min(F.when(100 * F.col("upto") >= _of_figure(0) * F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(100 * F.col("upto") >= _of_figure(1) * F.col("all"), F.col("bucket"))).alias("q2"),
-    )
+    reached = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
+    return cum.groupBy(*keys, "figure").agg(F.struct(F.max("all").alias("docs"), reached(25).alias("q1"), reached(50).alias("q2"), reached(75).alias("q3")).alias("q"))
 
 
 def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per (lang, source): lo_ and hi_ of each figure."""
+    """One row per (lang, source): lo_ and hi_ of each figure, and the median lengths (mid_)."""
     by_lang = sketch.groupBy("lang", "figure", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("figure", "bucket").agg(F.sum("n").alias("n"))
-    own = _quantiles(sketch, ["lang", "source"])
-    lang = _quantiles(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.struct("docs", "q1", "q2").alias("up"))
-    top = _quantiles(overall, []).select(F.col("figure").alias("g"), F.struct("docs", "q1", "q2").alias("top"))
-    q = F.when(F.col("docs") >= min_docs, F.struct("docs", "q1", "q2")).when(F.col("up.docs") >= min_docs, F.col("up")).otherwise(F.col("top"))
-    chosen = (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("figure") == F.col("f")))
-        .join(top, F.col("figure") == F.col("g"))
-        .select("lang", "source", "figure", q.alias("q"))
-        .withColumn("beyond", _of_figure(2) * F.greatest(F.col("q.q2") - F.col("q.q1"), _of_figure(3).cast("long")))
-    )
-    value = lambda k, c: F.max(F.when(F.col("figure") == k, c))
-    return chosen.groupBy("lang", "source").agg(
-        *[value(k, F.col("q.q2") + F.col("beyond")).alias(f"{_P}hi_{k}") for k in FENCES],
-        *[value(k, F.col("q.q1") - F.col("beyond")).alias(f"{_P}lo_{k}") for k in TWO_SIDED],
-    ).select(F.col("lang").alias(f"{_P}lang"), F.col("source").alias(f"{_P}source"), *[f"{_P}hi_{k}" for k in FENCES], *[f"{_P}lo_{k}" for k in TWO_SIDED])
+    own = _quartiles(sketch, ["lang", "source"])
+    lang = _quartiles(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.col("q").alias("up"))
+    top = _quartiles(overall, []).select(F.col("figure").alias("g"), F.col("q").alias("top"))
+    q = F.when(F.col("q.docs") >= min_docs, F.col("q")).when(F.col("up.docs") >= min_docs, F.col("up")).otherwise(F.col("top"))
+    chosen = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("figure") == F.col("f"))).join(top, F.col("figure") == F.col("g"))
+    wide = chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("figure") == k, q)).alias(k) for k in (*FIGURES, *LENGTHS)])
+    of = {}
+    for k, (_, unit, chance) in FIGURES.items():
+        # a bucket is never wider than a 64th of what is in it
+        beyond = f"greatest({TIMES} * greatest({k}.q3 - {k}.q1, {k}.q3 div 64), {1000 * chance} div greatest({unit}.q2, 1))"
+        of[f"hi_{k}"] = F.expr(f"{k}.q3 + {beyond}")
+        if k in TWO_SIDED:
+            of[f"lo_{k}"] = F.expr(f"{k}.q1 - {beyond}")
+    of |= {f"mid_{k}": F.col(f"{k}.q2") for k in LENGTHS}
+    return wide.select(F.col("lang").alias(f"{_P}lang"), F.col("source").alias(f"{_P}source"), *[c.alias(f"{_P}{k}") for k, c in of.items()])
 
 
 def _judged(counted: DataFrame, limits: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    of = figures()
     ok = F.lit(True)
-    for k in FENCES:
-        ok = ok & F.coalesce(of[k] <= F.col(f"{_P}hi_{k}"), F.lit(True))
-    for k in TWO_SIDED:
-        ok = ok & F.coalesce(of[k] >= F.col(f"{_P}lo_{k}"), F.lit(True))
+    for k, (count, unit, _) in FIGURES.items():
+        length = f"{_P}{unit}" if k in TWO_SIDED else f"greatest({_P}{unit}, {_P}mid_{unit})"
+        figure = F.expr(f"(1000 * {_P}{count}) div greatest({length}, 1)")
+        ok = ok & F.coalesce(figure <= F.col(f"{_P}hi_{k}"), F.lit(True))
+        if k in TWO_SIDED:
+            ok = ok & F.coalesce(figure >= F.col(f"{_P}lo_{k}"), F.lit(True))
     return counted.join(limits, plain(lang_col).eqNullSafe(F.col(f"{_P}lang")) & plain(source_col).eqNullSafe(F.col(f"{_P}source")), "left").withColumn(f"{_P}kept", ~base_failed() & ok)
 
 
@@ -172,21 +171,19 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return _judged(with_counts(docs, text_col), limits, lang_col, source_col).where(f"{_P}kept").select(*[plain(c) for c in docs.columns])
 
 
-def _case(column: str, i: int) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in FENCES.items()) + " END"
-
-
-def _quantile_sql(keys: str) -> str:
+def _quartile_sql(keys: str) -> str:
     on = (keys + ", ") if keys else ""
-    return f"""SELECT {on}figure, max(n_all) AS docs, min(bucket) FILTER (WHERE 100 * upto >= {_case('figure', 0)} * n_all) AS q1, min(bucket) FILTER (WHERE 100 * upto >= {_case('figure', 1)} * n_all) AS q2
+    reached = ", ".join(f"min(bucket) FILTER (WHERE 100 * upto >= {p} * n_all) AS q{i}" for i, p in enumerate((25, 50, 75), 1))
+    return f"""SELECT {on}figure, max(n_all) AS docs, {reached}
   FROM (SELECT {on}figure, bucket, sum(n) OVER (PARTITION BY {on}figure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}figure) AS n_all
         FROM (SELECT {on}figure, bucket, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
 
 
-_FIGURES = ", ".join(f"{{'figure': '{k}', 'v': {v}}}" for k, v in {
-    "word_len": "1000 * word_chars // greatest(n_words, 1)", "symbols": "1000 * n_symbols // greatest(n_words, 1)",
-    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
-}.items())
+_RATES = ", ".join(f"{{'figure': '{k}', 'v': 1000 * {count} // greatest({unit}, 1)}}" for k, (count, unit, _) in FIGURES.items())
+_LENGTHS = ", ".join(f"{{'figure': '{k}', 'v': {k}}}" for k in LENGTHS)
+_EACH = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, '{k}' AS figure, '{unit}' AS unit, {count} AS n, {unit} AS length, {chance} AS chance FROM judged WHERE NOT base_failed" for k, (count, unit, chance) in FIGURES.items()
+)
 #: The same in SQL.
 SQL = rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -198,17 +195,18 @@ counted AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines
   FROM w LEFT JOIN held h ON w.doc_id = h.doc_id LEFT JOIN lines l ON w.doc_id = l.doc_id),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-figures AS (SELECT doc_id, lang, source, x.figure AS figure, x.v AS v, greatest(length(bin(x.v)) - 7, 0) AS s FROM (SELECT doc_id, lang, source, unnest([{_FIGURES}]) AS x FROM judged WHERE NOT base_failed)),
+figures AS (SELECT doc_id, lang, source, x.figure AS figure, x.v AS v, greatest(length(bin(x.v)) - 7, 0) AS s FROM (SELECT doc_id, lang, source, unnest([{_RATES}, {_LENGTHS}]) AS x FROM judged WHERE NOT base_failed)),
 sketch AS (SELECT *, (v >> s) << s AS bucket FROM figures),
-own AS ({_quantile_sql("lang, source")}), by_lang AS ({_quantile_sql("lang")}), overall AS ({_quantile_sql("")}),
-limits AS (
-  SELECT lang, source, figure, q1, q2, {_case('figure', 2)} * greatest(q2 - q1, {_case('figure', 3)}) AS beyond FROM (
-    SELECT c.lang, c.source, c.figure, CASE WHEN c.docs >= {MIN_DOCS} THEN c.q1 WHEN b.docs >= {MIN_DOCS} THEN b.q1 ELSE o.q1 END AS q1,
-           CASE WHEN c.docs >= {MIN_DOCS} THEN c.q2 WHEN b.docs >= {MIN_DOCS} THEN b.q2 ELSE o.q2 END AS q2
-    FROM own c JOIN by_lang b ON c.lang IS NOT DISTINCT FROM b.lang AND c.figure = b.figure JOIN overall o ON o.figure = c.figure)),
+own AS ({_quartile_sql("lang, source")}), by_lang AS ({_quartile_sql("lang")}), overall AS ({_quartile_sql("")}),
+quartiles AS (
+  SELECT c.lang, c.source, c.figure, CASE WHEN c.docs >= {MIN_DOCS} THEN [c.q1, c.q2, c.q3] WHEN b.docs >= {MIN_DOCS} THEN [b.q1, b.q2, b.q3] ELSE [o.q1, o.q2, o.q3] END AS q
+  FROM own c JOIN by_lang b ON c.lang IS NOT DISTINCT FROM b.lang AND c.figure = b.figure JOIN overall o ON o.figure = c.figure),
 verdicts AS (
-  SELECT f.doc_id, bool_and(f.v <= l.q2 + l.beyond AND (f.figure <> 'word_len' OR f.v >= l.q1 - l.beyond)) AS ok
-  FROM figures f JOIN limits l ON f.lang IS NOT DISTINCT FROM l.lang AND f.source IS NOT DISTINCT FROM l.source AND f.figure = l.figure GROUP BY f.doc_id)
+  SELECT doc_id, bool_and(CASE WHEN figure = 'word_len' THEN v BETWEEN q1 - beyond AND q3 + beyond ELSE v <= q3 + beyond END) AS ok FROM (
+    SELECT e.doc_id, e.figure, l.q[1] AS q1, l.q[3] AS q3, 1000 * e.n // greatest(e.length, CASE WHEN e.figure = 'word_len' THEN 1 ELSE m.q[2] END, 1) AS v,
+           greatest({TIMES} * greatest(l.q[3] - l.q[1], l.q[3] // 64), 1000 * e.chance // greatest(m.q[2], 1)) AS beyond
+    FROM ({_EACH}) e JOIN quartiles l ON e.lang IS NOT DISTINCT FROM l.lang AND e.source IS NOT DISTINCT FROM l.source AND e.figure = l.figure
+    JOIN quartiles m ON e.lang IS NOT DISTINCT FROM m.lang AND e.source IS NOT DISTINCT FROM m.source AND e.unit = m.figure) GROUP BY doc_id)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(v.ok, true) AS kept
 FROM judged j LEFT JOIN verdicts v ON j.doc_id = v.doc_id
 """

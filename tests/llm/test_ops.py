@@ -303,9 +303,10 @@ def reference_verdicts(docs):
     failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
     lines = {i: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")) for i, t, *_ in docs}
 
-    def per_mille(i):
+    #: figure -> (count, length, events that are chance in a document of median length)
+    def parts(i):
         n, chars, symbols, dup, rep = counts[i]
-        return {"word_len": 1000 * chars // n, "symbols": 1000 * symbols // n, "dup_lines": 1000 * dup // lines[i], "repeats": 1000 * rep // n}
+        return {"word_len": (chars, n, 0), "symbols": (symbols, n, 6), "dup_lines": (dup, lines[i], 2), "repeats": (rep, n, 64)}
 
     passed = [d for d in docs if not failed[d[0]]]
     out = {}
@@ -315,12 +316,13 @@ def reference_verdicts(docs):
             group = [d for d in passed if d[2] == lang and d[3] == source]
             group = group if len(group) >= Q.MIN_DOCS else [d for d in passed if d[2] == lang]
             group = group if len(group) >= Q.MIN_DOCS else passed
-            for k, v in per_mille(i).items():
-                values = [per_mille(d[0])[k] for d in group]
-                low, high, times, least = Q.FENCES[k]
-                q1, q2 = quantile(values, low), quantile(values, high)
-                beyond = times * max(q2 - q1, least)
-                ok = ok and v <= q2 + beyond and (k not in Q.TWO_SIDED or v >= q1 - beyond)
+            for k, (count, length, chance) in parts(i).items():
+                of_group = [parts(d[0])[k] for d in group]
+                rates, median = [1000 * c // n for c, n, _ in of_group], quantile([n for _, n, _ in of_group], 50)
+                q1, q3 = quantile(rates, 25), quantile(rates, 75)
+                beyond = max(6 * max(q3 - q1, q3 // 64), 1000 * chance // median)
+                v = 1000 * count // (length if k == "word_len" else max(length, median))
+                ok = ok and v <= q3 + beyond and (k != "word_len" or v >= q1 - beyond)
         out[i] = counts[i], failed[i], ok
     return out
 
@@ -354,6 +356,39 @@ def test_fences_follow_the_group(spark):
     assert right.get((1, False), 0) <= 0.001 * right[1, True] and right.get((0, True), 0) <= 0.02 * right[0, False]
 
 
+@pytest.mark.parametrize("junk", [5, 30, 100])
+def test_junk_does_not_move_its_own_fence(spark, junk):
+    """A thousand documents of a group, some of them junk by one figure: all junk goes and all else stays, however much there is."""
+    import random as r
+
+    rnd = r.Random(junk)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 8)))
+    line = lambda n=20: " ".join(word() for _ in range(n))
+
+    def clean():
+        lines = [line(rnd.randint(15, 25)) for _ in range(rnd.randint(6, 14))]
+        return "\n".join(lines + lines[: rnd.random() < 0.05])
+
+    def repeated_lines():
+        lines = [line(rnd.randint(15, 25)) for _ in range(12)]
+        return "\n".join(lines + ["~ " + word()] * 6)  # 5 of 18 lines, and hardly a repeated window of words
+
+    def repeated_words():
+        same, lines = line(40), [line() for _ in range(6)]
+        return "\n".join(f"{x} {same}" for x in lines[:2]) + "\n" + "\n".join(lines[2:])  # 80 of 200 words
+
+    kinds = {
+        "symbols": lambda: " ".join(w + "#" * (k % 10 == 0) for k, w in enumerate(clean().split(" "))),
+        "word_len": lambda: " ".join(word() + word() + word() for _ in range(200)),
+        "dup_lines": repeated_lines,
+        "repeats": repeated_words,
+    }
+    rows = [(10000 * g + i, make() if i < junk else clean(), k, "s") for g, (k, make) in enumerate(kinds.items()) for i in range(1000)]
+    got = Q.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    wrong = Counter((list(kinds)[x.doc_id // 10000], x.kept) for x in got if x.kept == (x.doc_id % 10000 < junk) or x.base_failed)
+    assert not wrong
+
+
 # ---- op8
 
 
