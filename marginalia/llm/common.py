@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII white-space characters; words are maximal runs of anything else.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -82,3 +84,10 @@ def blocks_for(spark: SparkSession, total_bytes: int, per_block: int) -> int:
 def plain(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names: Spark's own takes a dot in one for a field of a struct."""
+    names = df.columns
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import plain, text_bytes
+from marginalia.llm.common import map_batches, plain, text_bytes
 from marginalia.llm.hashing import U, mix
 
 #: Edits per item character up to which a window counts as a copy of the item.
@@ -263,7 +263,7 @@ def with_matches(docs: DataFrame, items: list[tuple[int, str]], text_col: str, m
                 found = [[{"item_id": i, "n_edits": e, "item_chars": n} for i, e, n in x] for x in lookup.matches(part.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], schema=part.schema.append(pa.field(into, kind)))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:

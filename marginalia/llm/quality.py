@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marginalia.llm.common import materialise, plain
+from marginalia.llm.common import map_batches, materialise, plain
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +88,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                 fields.append(pa.field(f"{_P}{c}", pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def base_failed() -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from marginalia.llm.common import plain
+from marginalia.llm.common import map_batches, plain
 from marginalia.llm.hashing import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -378,7 +378,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
                     columns.append((pa.field("lossless", pa.bool_()), pa.array(ok, pa.bool_())))
                 yield pa.RecordBatch.from_arrays([c for _, c in columns], schema=pa.schema([f for f, _ in columns]))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
