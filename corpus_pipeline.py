@@ -2,6 +2,12 @@
 
 Each stage is written as Parquet to the shared folder and read again as the next one's documents, so a lost executor
 never costs more than the stage at hand.
+
+Defined cases: null and empty texts fail the quality rules and go; a null language or source is a group and a host of its
+own; rows with a null doc_id are judged like others, but are nobody's near-duplicate and all stay; of repeated rows and
+copies one stays, unless there are so few pages on their host that line dedup has emptied them before (its docstring says
+when); an emptied document goes on as an empty text; very long texts are treated whole; items without id or text are
+skipped; empty tables give no rows. Further columns pass through whatever their names, but ids and lossless are replaced.
 """
 
 from __future__ import annotations
