@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import markdown_lines
-from marginalia.operators.chunkers import MAX_TOKENS, chunk_documents, recursive_split, register_chunker, split_texts, split_to_fit
+from marginalia.operators.chunkers import MAX_TOKENS, UNCAPPED, chunk_documents, recursive_split, register_chunker, split_texts, split_to_fit
 from marginalia.registry import query
 from marginalia.sources.views import MARKDOWN, markdown, read
 
@@ -108,3 +108,9 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""WITH {MARKDOWN}, {_LEAVES} SELECT base AS id, t AS text FROM leaf""")
+def chunk_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as they are, however long: the plain chunker that the others are measured against."""
+    return chunk_documents(_plain(spark, sf_dir), "structural", UNCAPPED).where("heading_path <> section").select("id", "text")
