@@ -1,6 +1,7 @@
 import datetime
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,18 @@ def test_answer_never_shows_what_the_level_hides(spark):
     asked = spark.createDataFrame([(1, "blimp plans"), (2, "sesame, blimp plans")], "query_id long, question string")
     got = {r.query_id: r for r in answer(rows, asked, Options(phrase="sesame")).collect()}
     assert got[1].ids == [2] and got[2].ids[0] == 1 and not re.search("secret", got[1].answer)
+
+
+def test_chunks_leave_in_bounded_batches(spark):
+    """A long section's text goes with each of its chunks, yet no batch is much over the bound; one pass does several strategies."""
+    lines = ["1. Long", "1.1 Rule. " + " ".join(f"Sentence number {i} of this rule is here." for i in range(12000))]
+    rows = C.chunk(lines, "P", "1.0")
+    schema = pa.schema([("id", pa.string()), ("text", pa.string()), ("parent_text", pa.string())])
+    batches = list(C._in_batches(iter(rows), schema))
+    assert sum(b.num_rows for b in batches) == len(rows) > 200 and len({id(r["parent_text"]) for r in rows if r["parent_text"]}) == 1
+    assert len(batches) > 10 and all(b.nbytes < C.BATCH_CHARS + 1_000_000 for b in batches)
+    docs = spark.createDataFrame([("P", "1.0", LINES)], "policy string, version string, lines array<string>")
+    both = C.chunk_documents(docs, ["structural", "table_aware"], columns=["strategy", "id", "tokens", "has_parent"])
+    assert both.columns == ["strategy", "id", "tokens", "has_parent"]
+    want = [(s, r["id"], r["tokens"], r["parent_text"] is not None) for s in ("structural", "table_aware") for r in C.chunk(LINES, "P", "1.0", s)]
+    assert [tuple(r) for r in both.collect()] == want
