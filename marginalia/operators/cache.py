@@ -31,9 +31,10 @@ def semantic_lookup(asked: DataFrame, entries: DataFrame, threshold: float = THR
     keyed = lambda rows: rows.select("seq", "level", "corpus_key", question_key(F.col("question")).alias("tokens"), F.col("vector").cast("array<double>").alias("vector")).where("tokens IS NOT NULL AND vector IS NOT NULL")
     a, e = written(keyed(asked)), written(keyed(entries))
     classes = written(a.select(*BLOCK, "vector").union(e.select(*BLOCK, "vector")).distinct().select("*", F.monotonically_increasing_id().alias("class")))
-    in_class = lambda rows: rows.join(classes, [*BLOCK, "vector"]).select("seq", "class")
+    # equal vectors take a few bytes each as files and a thousand times that in memory, so the files' size must not lead to a broadcast
+    in_class = lambda rows: rows.join(classes.hint("merge"), [*BLOCK, "vector"]).select("seq", "class")
     other = classes.select(*BLOCK, F.col("vector").alias("other_vector"), F.col("class").alias("other"))
-    near = written(classes.join(other, BLOCK).select("class", "other", cosine(F.col("vector"), F.col("other_vector")).alias("similarity")).where(F.col("similarity") >= threshold))
+    near = written(classes.join(other.hint("merge"), BLOCK).select("class", "other", cosine(F.col("vector"), F.col("other_vector")).alias("similarity")).where(F.col("similarity") >= threshold))
     probes = in_class(a).join(near, "class").select("seq", F.col("other").alias("class"), F.round("similarity", 9).alias("similarity"))
     none = F.lit(None).cast("double")
     events = written(probes.select("seq", "class", "similarity", F.lit(None).cast("long").alias("entry")).union(in_class(e).select("seq", "class", none, F.col("seq"))).withColumn("part", F.floor(F.col("seq") / span)))

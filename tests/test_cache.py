@@ -83,3 +83,16 @@ def test_stream_expires_and_evicts(spark, arrive):
     # c pushes b out, as a was used later; b pushes a out; a pushes c out; then c is new, and is too old in the end
     assert {s: v[0] for s, v in got.items()} == {1: None, 2: None, 3: 1, 4: None, 5: None, 6: None, 7: None, 8: None}
     assert {s for s, v in got.items() if v[2]} == {4, 5, 6, 7}
+
+
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """Small as files, large in the driver's memory: no join that carries vectors is a broadcast, whatever the threshold."""
+    from marginalia.operators import cache
+
+    plans, write = [], cache.written
+    monkeypatch.setattr(cache, "written", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df))[1])
+    frame = spark.createDataFrame(rows(40), SCHEMA)
+    semantic_lookup(frame, frame).collect()
+    carrying = [p for p in plans if "vector" in p and "Join" in p]
+    assert len(carrying) >= 2 and not [p for p in carrying if any("BroadcastHashJoin" in x and "vector" in x for x in p.splitlines())]
+    assert all("SortMergeJoin" in p for p in carrying)
