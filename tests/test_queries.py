@@ -34,5 +34,27 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(x) for x in r)) for r in want)
 
 
+BLANK = ["chunk_structural"]
+
+
+@pytest.fixture(scope="module")
+def blank_dir(sf_dir, tmp_path_factory):
+    """The smallest tables, with texts that are empty, blank or null."""
+    duckdb = pytest.importorskip("duckdb")
+    at = tmp_path_factory.mktemp("blank")
+    text = "CASE doc_id % 11 WHEN 3 THEN '' WHEN 5 THEN '   ' WHEN 7 THEN chr(10) || chr(10) WHEN 9 THEN NULL ELSE text END"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({text} AS text) FROM '{sf_dir}/documents.parquet') TO '{at}/documents.parquet' (FORMAT parquet)")
+    os.symlink(f"{sf_dir}/labels.parquet", at / "labels.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", BLANK)
+def test_blank_texts_match_sql(name, spark, blank_dir):
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{blank_dir}/{t}.parquet')")
+    test_matches_sql(name, spark, blank_dir, con)
+
+
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
