@@ -34,7 +34,7 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(x) for x in r)) for r in want)
 
 
-BLANK = ["chunk_contextual", "chunk_lateral", "chunk_parent_child", "chunk_structural", "chunk_uncapped"]
+BLANK = ["chunk_contextual", "chunk_lateral", "chunk_parent_child", "chunk_structural", "chunk_table_aware", "chunk_uncapped"]
 
 
 @pytest.fixture(scope="module")
