@@ -34,7 +34,7 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(x) for x in r)) for r in want)
 
 
-BLANK = ["chunk_contextual", "chunk_lateral", "chunk_parent_child", "chunk_structural", "chunk_table_aware", "chunk_uncapped"]
+BLANK = ["chunk_contextual", "chunk_lateral", "chunk_parent_child", "chunk_structural", "chunk_table_aware", "chunk_uncapped", "evaluate_cases"]
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,8 @@ def blank_dir(sf_dir, tmp_path_factory):
     """The smallest tables, with texts that are empty, blank or null."""
     duckdb = pytest.importorskip("duckdb")
     at = tmp_path_factory.mktemp("blank")
-    text = "CASE doc_id % 11 WHEN 3 THEN '' WHEN 5 THEN '   ' WHEN 7 THEN chr(10) || chr(10) WHEN 9 THEN NULL ELSE text END"
+    text = "CASE WHEN doc_id = 100 THEN '' ELSE text END"  # a case of evaluate_cases
+    text = "CASE doc_id % 11 WHEN 1 THEN " + text + " WHEN 3 THEN '' WHEN 5 THEN '   ' WHEN 7 THEN chr(10) || chr(10) WHEN 9 THEN NULL ELSE text END"
     duckdb.sql(f"COPY (SELECT * REPLACE ({text} AS text) FROM '{sf_dir}/documents.parquet') TO '{at}/documents.parquet' (FORMAT parquet)")
     os.symlink(f"{sf_dir}/labels.parquet", at / "labels.parquet")
     return str(at)
