@@ -160,3 +160,18 @@ def test_chunks_leave_in_bounded_batches(spark):
     assert both.columns == ["strategy", "id", "tokens", "has_parent"]
     want = [(s, r["id"], r["tokens"], r["parent_text"] is not None) for s in ("structural", "table_aware") for r in C.chunk(LINES, "P", "1.0", s)]
     assert [tuple(r) for r in both.collect()] == want
+
+
+@pytest.mark.parametrize("room", [32 << 20, 2048])
+def test_bm25_keeps_the_best_in_the_tasks(spark, monkeypatch, room):
+    """The k best by blocks of query weights are those of the join of all pairs, ties by id included, in one block and in several."""
+    from marginalia.operators import lexical
+
+    monkeypatch.setattr(lexical, "QUERY_BYTES", room)
+    texts = ["a b b c", "b c d", "a b b c", "", "z", "c c c d e", None, "a b b c"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(["ab", "bbc", "dz", "q", "e", "abcdez", "c"] * 6)] + [(99, None)], "query_id long, query_text string")
+    got = lexical.bm25(docs, asked, 7)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    rows = lambda d: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in d.collect())
+    assert rows(got) == rows(lexical.top(lexical.bm25(docs, asked), 7)) and got.count() > 100
