@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,16 +111,14 @@ def _best(queries: list[tuple[int, list[float], int | None]], k: int, dims: int
     return run
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_vector(lists: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(DoubleType()))
+def hash_vector(lists: pa.Array) -> pa.Array:
     """Offline embedding of word lists: counts by the last byte of each word's MD5, scaled to norm 1 (256 entries)."""
-    known: dict[str, int] = {}
-
-    def vector(words) -> np.ndarray:
-        for w in words:
-            if w not in known:
-                known[w] = hashlib.md5(w.encode()).digest()[-1]
-        counts = np.bincount([known[w] for w in words], minlength=256).astype(float) if len(words) else np.zeros(256)
-        return counts / (np.linalg.norm(counts) or 1.0)
-
-    return lists.map(lambda words: vector(words) if words is not None else np.zeros(256))
+    words = lists.flatten().dictionary_encode()
+    last = np.array([hashlib.md5(w.encode()).digest()[-1] for w in words.dictionary.to_pylist()], dtype=np.int64)
+    sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    counts = np.bincount(row * 256 + last[words.indices.to_numpy()], minlength=256 * len(lists)).reshape(-1, 256).astype(float)
+    norms = np.linalg.norm(counts, axis=1, keepdims=True)
+    values = np.divide(counts, norms, out=counts, where=norms > 0).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * 256), pa.array(values))

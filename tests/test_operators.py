@@ -175,3 +175,17 @@ def test_bm25_keeps_the_best_in_the_tasks(spark, monkeypatch, room):
     assert "MapInArrow" in got._jdf.queryExecution().toString()
     rows = lambda d: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in d.collect())
     assert rows(got) == rows(lexical.top(lexical.bm25(docs, asked), 7)) and got.count() > 100
+
+
+def test_hash_vector_hashes_a_word_once_a_batch(spark, monkeypatch):
+    import hashlib
+
+    from marginalia.functions import vectors
+
+    seen, md5 = [], hashlib.md5
+    monkeypatch.setattr(vectors.hashlib, "md5", lambda b: (seen.append(b), md5(b))[1])
+    words = [["b", "a", "b"], None, [], ["é", "a"]]
+    got = vectors.hash_vector.func(pa.array(words + [["x"]], pa.list_(pa.string())).slice(0, 4)).to_pylist()
+    assert len(seen) == len(set(seen)) == 3 and [len(v) for v in got] == [256] * 4
+    place = lambda w: md5(w.encode()).digest()[-1]
+    assert abs(got[0][place("b")] - 2 / 5**0.5) < 1e-12 and abs(got[0][place("a")] - 1 / 5**0.5) < 1e-12 and not any(got[1]) and not any(got[2]) and abs(got[3][place("é")] - 0.5**0.5) < 1e-12
